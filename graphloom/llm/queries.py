@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import importlib
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, ngram_join, packing, pii, quality, sharding
+from . import bpe, chat, hnsw, langid, licenses, ngram_join, packing, pii, quality, sharding
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,6 +25,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "lost_chars")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id.txt; null source or lang: an underscore."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))).alias("path"), "text")
+    return licenses.scan_licenses(docs).select("doc_id", "path", "own_license", "own_score", "is_license_file", "license", "origin", "origin_dir")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -77,13 +90,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op4_language_id, op5_best_fit_packing, op6_sharding, op7_chat_formatting, op8_bpe, op9_ngram_jaccard_join, op10_pii,
+        op1_quality_rules, op2_embedding_near_dedup, op3_license_scan, op4_language_id, op5_best_fit_packing, op6_sharding, op7_chat_formatting, op8_bpe, op9_ngram_jaccard_join, op10_pii,
     )
 }
 
 _P = quality.PARAMETERS
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _BOILER = " OR ".join(f"contains(low, '{x}')" for x in quality.BOILERPLATE)
+_TERMS = lambda c: rf"regexp_extract_all(translate({c}, '{licenses._UPPER}', '{licenses._LOWER}'), '[a-z0-9]+(?:\.[0-9]+)?')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
@@ -106,6 +120,48 @@ b AS (SELECT *, n_words < {_P["min_words"]} OR 100 * n_repeat_words > {_P["max_r
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= {_P["max_lost_percent"]} * word_chars AS kept, CAST(n_bad AS BIGINT) AS n_bad_lines, CAST(lost AS BIGINT) AS lost_chars
 FROM b""",
+    "op2_embedding_near_dedup": f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {hnsw.PARAMETERS["threshold"]}),
+r AS (SELECT a, a AS b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM k GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(m, vec_id) AS component_id, vec_id = coalesce(m, vec_id) AS kept FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op9_ngram_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+{ngram_join.WIDTH - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {ngram_join.WIDTH - 2}, 2))) AS i FROM d WHERE len(ws) > 0)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE c >= {ngram_join.THRESHOLD} * (x.n + y.n - c) - 1e-9),
+k AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT a, a AS b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM k GROUP BY a)
+SELECT doc_id, coalesce(m, doc_id) AS class_id, coalesce(n.n, 0) AS n_links, doc_id = coalesce(m, doc_id) AS kept FROM d LEFT JOIN n ON n.a = doc_id LEFT JOIN c ON c.a = doc_id""",
+    "op3_license_scan": rf"""
+WITH t(k, id, txt) AS (VALUES {", ".join(f"({k}, '{n}', '{x}')" for k, (n, x) in enumerate(licenses.TEMPLATES))}),
+tb AS (SELECT k, w, count(*) AS c FROM (SELECT k, unnest({_TERMS("txt")}) AS w FROM t) GROUP BY k, w),
+idf AS (SELECT w, ln({len(licenses.TEMPLATES) + 1}.0 / (count(*) + 1)) + 1 AS v FROM tb GROUP BY w),
+tn AS (SELECT k, sqrt(sum(c * v * c * v)) AS n FROM tb JOIN idf USING (w) GROUP BY k),
+tw AS (SELECT k, w, c * v * v / n AS x FROM tb JOIN idf USING (w) JOIN tn USING (k)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') AS dir,
+  coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.txt' AS path, coalesce(text, '') AS t FROM documents),
+c AS (SELECT * FROM d WHERE regexp_matches(t, '{licenses.CUE}|{licenses.CUE_CC}')),
+l AS (SELECT rid, row_number() OVER () AS uid, line FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM c) WHERE regexp_matches(line, '{licenses.CUE}|{licenses.CUE_CC}')),
+u AS (SELECT rid, uid, {_TERMS("line")} AS ws FROM l UNION ALL SELECT rid, 0, {_TERMS("t")} FROM c),
+ub AS (SELECT rid, uid, w, count(*) AS n FROM (SELECT rid, uid, unnest(ws) AS w FROM u) GROUP BY rid, uid, w),
+un AS (SELECT rid, uid, sqrt(sum(n * n * coalesce(v * v, {(math.log(len(licenses.TEMPLATES) + 1) + 1) ** 2!r}))) AS norm FROM ub LEFT JOIN idf USING (w) GROUP BY rid, uid),
+us AS (SELECT rid, uid, k, round(sum(n * x) / any_value(norm), 6) AS score FROM ub JOIN tw USING (w) JOIN un USING (rid, uid) GROUP BY rid, uid, k),
+ux AS (SELECT u.rid, u.uid, len(ws) AS n, coalesce(s.score, 0) AS score, coalesce(s.k, 0) AS k FROM u LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid, uid ORDER BY score DESC, k) AS r FROM us) s ON u.rid = s.rid AND u.uid = s.uid AND s.r = 1),
+best AS (SELECT rid, score, k FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, k) AS r FROM ux WHERE uid > 0) WHERE r = 1),
+lw AS (SELECT rid, sum(n) FILTER (uid > 0 AND score >= {licenses.THRESHOLD}) AS n, max(n) FILTER (uid = 0) AS whole, max(score) FILTER (uid = 0) AS ws FROM ux GROUP BY rid),
+f AS (SELECT d.*, CASE WHEN best.score >= {licenses.THRESHOLD} THEN t.id END AS own_license, coalesce(best.score, 0.0) AS own_score, coalesce(lw.ws >= {licenses.THRESHOLD} OR coalesce(lw.n, 0) >= {licenses.SHARE} * lw.whole, false) AS full_file
+  FROM d LEFT JOIN best USING (rid) LEFT JOIN t ON best.k = t.k LEFT JOIN lw ON d.rid = lw.rid),
+g AS (SELECT dir, own_license AS given FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS r FROM f WHERE own_license IS NOT NULL AND full_file) WHERE r = 1)
+SELECT doc_id, path, own_license, own_score, own_license IS NOT NULL AND full_file AS is_license_file, coalesce(own_license, given) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'header' WHEN given IS NOT NULL THEN 'directory' ELSE 'none' END AS origin, CASE WHEN own_license IS NULL AND given IS NOT NULL THEN f.dir END AS origin_dir
+FROM f LEFT JOIN g ON f.dir = g.dir""",
     "op7_chat_formatting": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
