@@ -34,7 +34,7 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", re.ASCII), "0123456789"),
     ("phone", re.compile(r"(?<![\w+.-])00[1-9]\d{0,2}(?:[ .()-]{1,2}\d{2,5}){2,5}(?![\w-])", re.ASCII), ("00",)),
     ("card", re.compile(r"(?<![\w.-])\d{4}(?:[._/]|  | |‑)\d{4,6}(?:[._/]|  | |‑)\d{4,5}(?:(?:[._/]|  | |‑)\d{1,4})?(?![\w-])"), "0123456789"),
-    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![\w:])", re.ASCII), (":",)),
+    ("ip", re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\w:])", re.ASCII), (":",)),
     ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z]{3,5}[0-9A-Z]{12,36}(?![A-Za-z0-9])"), "0123456789"),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[a-z]{2,8}[_-]){1,3}[A-Za-z0-9]{16,64}(?![A-Za-z0-9])"), ("_", "-")),
     ("secret", re.compile(r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|auth)\s?[=:]\s?[\"']?([^\s\"',;]{6,128})"), ("=", ":")),
