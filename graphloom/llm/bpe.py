@@ -16,9 +16,9 @@ from .common import text_slices, with_columns
 
 #: Pre-token pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SEGMENTS = 400_000  # segments kept by a worker for each of two caches
+SEGMENTS = 150_000  # segments kept by a worker for each of two caches
 SEGMENT_CHARS = 48  # longer ones aren't kept
-CHUNK_BYTES = 24 << 20  # text of the chunks that a worker keeps
+CHUNK_BYTES = 12 << 20  # text of the chunks that a worker keeps
 LEAST, MOST, MASK = 512, 8192, np.uint32(0x3FF << 20)  # bytes of a chunk; a cut where the rolling hash has these bits zero: one byte in 1024
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
 
