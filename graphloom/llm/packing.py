@@ -111,9 +111,9 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
     shared = pieces.sparkSession.sparkContext.broadcast(table)  # about as many rows as lengths and patterns: it doesn't grow with the corpus
 
     before = per.withColumn("_before", F.sum("_n").over(Window.partitionBy("_len").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = before.groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_len").cast("long"), F.coalesce("_before", F.lit(0)).cast("long")))).alias("_starts"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_good", length_col).orderBy("_row")) - 1)
-    ranked = ranked.join(starts, "_group", "left").withColumn("_rank", F.when(F.col("_good"), F.col("_rank") + F.element_at("_starts", F.col(length_col).cast("long"))))
+    starts = before.select("_group", "_len", F.coalesce("_before", F.lit(0)).cast("long").alias("_start"))
+    ranked = keyed.withColumn("_len", F.when(F.col("_good"), F.col(length_col))).withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_len").orderBy("_row")) - 1)
+    ranked = ranked.join(starts, ["_group", "_len"], "left").withColumn("_rank", F.col("_rank") + F.col("_start"))  # null where the length is odd
 
     @F.pandas_udf("struct<s:long,o:long>")
     def place(size, rank):
