@@ -47,3 +47,12 @@ def go_imports(observations: DataFrame) -> DataFrame:
     imports = observations.where("kind = 'go.import'").select("path", "start_line", "target")
     status = F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "resolved").otherwise("collision")
     return imports.join(known, F.col("target") == F.col("import_path"), "left").select("path", "start_line", "target", status.alias("status"), F.when(F.col("n") == 1, F.col("dir")).alias("package_dir"))
+
+
+def go_assembly(files: DataFrame, observations: DataFrame) -> DataFrame:
+    """Assembly files with the package of their folder: one, or a conflict where the folder has several, or none."""
+    folder = F.regexp_extract("path", "^(.*/)?", 0)
+    packages = observations.where("kind = 'go.package'").select(folder.alias("dir"), F.col("name").alias("package")).where(~F.col("name").endswith("_test")).groupBy("dir").agg(F.countDistinct("package").alias("n"), F.min("package").alias("package"))
+    own = files.where(F.col("path").endswith(".s")).select("path", folder.alias("dir"))
+    status = F.when(F.col("n").isNull(), "no_package").when(F.col("n") == 1, "companion").otherwise("conflict")
+    return own.join(packages, "dir", "left").select("path", status.alias("status"), F.when(F.col("n") == 1, F.col("package")).alias("package"))

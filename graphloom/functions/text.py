@@ -120,3 +120,29 @@ def chunks(docs: DataFrame, key_cols: list[str], text_col: str = "text", lines_c
     names = [*key_cols, "chunk_ordinal", "start_line", "end_line", "byte_length", "continuation", "chunk_text"]
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in key_cols) + ", chunk_ordinal int, start_line int, end_line int, byte_length int, continuation boolean, chunk_text string"
     return docs.select(*key_cols, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+
+
+def alias_query_text(query: str) -> str:
+    """A query's alias words: pieces between / _ . : - and their camel-case parts, in order, each once."""
+    import re
+
+    seen: dict[str, None] = {}
+    for raw in re.findall(r"[A-Za-z0-9_./:-]+", query):
+        for part in filter(None, re.split(r"[/_.:-]+", raw)):
+            split = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", part))
+            for word in (part.lower(), *split.lower().split(" ")):
+                if 2 <= len(word) <= 64:
+                    seen.setdefault(word)
+    return " ".join(seen)
+
+
+def jsonb_text(value) -> str:
+    """A JSON value as PostgreSQL's jsonb prints it: keys by length, then bytes; a space after : and ,."""
+    import json
+
+    if isinstance(value, dict):
+        items = sorted(value.items(), key=lambda kv: (len(kv[0].encode()), kv[0].encode()))
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {jsonb_text(v)}" for k, v in items) + "}"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(jsonb_text, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)

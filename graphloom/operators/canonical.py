@@ -158,3 +158,22 @@ def normalized_graph(observations: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     nodes = merge.last_wins(o.select("stable_key", "kind", "path", "name", "ordinal"), ["stable_key"], "ordinal")
     edges = merge.last_wins(o.where("target is not null").select("stable_key", "target", F.col("kind").alias("edge_kind"), "ordinal"), ["stable_key", "target"], "ordinal")
     return nodes, edges, o.select("stable_key", "path", "start_line", "end_line", "ordinal")
+
+
+#: Metadata that only a capability may set; an observation that claims it is refused.
+RESERVED = ("capability", "verified_by", "witness")
+
+
+def refused_claims(observations: DataFrame, trusted: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(observations without reserved claims, warnings for the others); extractors in `trusted` may make them."""
+    claim = F.lit(False)
+    for name in RESERVED:
+        claim = claim | F.get_json_object("metadata", f"$.{name}").isNotNull()
+    claim = F.coalesce(claim, F.lit(False)) & ~F.col("extractor").isin(*trusted) if trusted else F.coalesce(claim, F.lit(False))
+    bad = observations.where(claim).select(F.lit("warning").alias("severity"), F.lit("refused_claim").alias("code"), "ordinal", "kind", F.col("path").alias("detail"))
+    return observations.where(~claim), bad
+
+
+def unknown_provenance(observations: DataFrame, captured: DataFrame) -> DataFrame:
+    """Observations of files that no captured manifest (path) holds: must be empty."""
+    return observations.join(captured.select("path").distinct(), "path", "left_anti")

@@ -54,3 +54,70 @@ def load(spark: SparkSession, folder: str, run_id: int) -> dict[str, DataFrame]:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     return out
+
+
+def purge(spark: SparkSession, folder: str, keep: int = 1, graph_id: str = "graph", dry_run: bool = True) -> list[int]:
+    """Runs older than the newest `keep` complete ones; their tables are deleted unless it is a dry run. The runs' rows stay."""
+    runs = spark.read.parquet(f"{folder.rstrip('/')}/runs").where((F.col("graph_id") == graph_id) & (F.col("status") == "complete"))
+    done = sorted((r[0] for r in runs.select("run_id").distinct().collect()), reverse=True)  # one number for each run
+    old = done[keep:]
+    if not dry_run:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for run in old:
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/run={run}")
+            path.getFileSystem(conf).delete(path, True)
+    return old
+
+
+def export_bundle(folder_to: str, tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> dict[str, int]:
+    """A portable bundle: each family as sorted JSON lines in its folder, and a manifest with their counts."""
+    counts = {}
+    for name, df in tables.items():
+        rows = df.orderBy(*keys[name]).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+        rows.write.mode("overwrite").text(f"{folder_to}/{name}")
+        counts[name] = df.count()
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(sorted(counts.items()), "family string, records bigint").coalesce(1).write.mode("overwrite").json(f"{folder_to}/manifest")
+    return counts
+
+
+def latest_receipt(runs: DataFrame, receipts: list[str]) -> DataFrame:
+    """The newest complete run with all receipt columns."""
+    full = runs.where("status = 'complete'")
+    for c in receipts:
+        full = full.where(F.col(c).isNotNull())
+    return full.orderBy(F.desc("run_id")).limit(1)
+
+
+class LexicalStore:
+    """Lexical generations under a folder: chunks are written, then a state row makes them readable; states only ever get newer."""
+
+    STATES = ("building", "published", "revoked", "invalidated")
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _state(self, generation: str, state: str, reason: str | None = None) -> None:
+        row = self.spark.createDataFrame([(generation, state, reason)], "generation string, state string, reason string")
+        row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.folder}/states")
+
+    def build(self, generation: str, chunks: DataFrame) -> int:
+        self._state(generation, "building")
+        chunks.write.mode("overwrite").parquet(f"{self.folder}/chunks/{generation}")
+        self._state(generation, "published")
+        return self.chunks(generation).count()
+
+    def state(self, generation: str) -> str | None:
+        rows = self.spark.read.parquet(f"{self.folder}/states").where(F.col("generation") == generation)
+        return rows.agg(F.max_by("state", "at")).first()[0]
+
+    def chunks(self, generation: str) -> DataFrame:
+        if (state := self.state(generation)) != "published":
+            raise IntegrityError(f"generation {generation} is {state}")
+        return self.spark.read.parquet(f"{self.folder}/chunks/{generation}")
+
+    def revoke(self, generation: str, reason: str, dry_run: bool = False) -> int:
+        n = self.chunks(generation).count()
+        if not dry_run:
+            self._state(generation, "revoked", reason)
+        return n

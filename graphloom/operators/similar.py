@@ -43,3 +43,17 @@ def similar_nodes(embeddings: DataFrame, seed_key: str, k: int, key_col: str = "
     rows = embeddings if in_scope is None else embeddings.join(in_scope.select(key_col).distinct(), key_col, "left_semi")
     query = F.array(*[F.lit(float(x)) for x in seed[0]])
     return "ok", nearest(rows, query, k, key_col, vector_col, F.col(key_col) == seed_key)
+
+MAX_IMPORT = 500
+
+
+def import_embeddings(entries: DataFrame, dimensions: int, public_keys: DataFrame, key_col: str = "canonical_key", vector_col: str = "embedding") -> DataFrame:
+    """An import's rows with a status: imported, private, bad_vector or duplicate; more than MAX_IMPORT rows are refused as a whole."""
+    from pyspark.sql import Window
+
+    if entries.limit(MAX_IMPORT + 1).count() > MAX_IMPORT:
+        raise ValueError(f"an import has at most {MAX_IMPORT} rows")
+    marked = entries.join(public_keys.select(key_col).distinct().withColumn("_public", F.lit(True)), key_col, "left")
+    n = F.count(F.lit(1)).over(Window.partitionBy(key_col))
+    status = F.when(F.col("_public").isNull(), "private").when(~valid_vector(F.col(vector_col), dimensions), "bad_vector").when(n > 1, "duplicate").otherwise("imported")
+    return marked.withColumn("status", status).drop("_public")
