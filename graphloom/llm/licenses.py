@@ -36,6 +36,7 @@ TEMPLATES = (
 )
 CUE = r"[Ll]icen[cs]e|LICEN[CS]E|[Rr]ights reserved|RIGHTS RESERVED|[Pp]ublic domain|[Pp]ermission is hereby granted|SPDX"
 CUE_CC = r"CC BY|CC0"
+CUE_CORES = ("icense", "icence", "ICENSE", "ICENCE", "ights reserved", "RIGHTS RESERVED", "ublic domain", "ermission is hereby granted", "SPDX", "CC BY", "CC0")
 THRESHOLD = 0.75
 SHARE = 0.5  # a file is a licence file if its licence lines hold at least this share of its words
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +64,11 @@ def _map(d: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv])
 
 
+def _with(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _best(words: Column) -> Column:
     """struct<score, k>: the highest cosine of a bag of terms to a template, and minus its place (ties go to the first)."""
     squares, other, templates = _weights()
@@ -73,15 +79,16 @@ def _best(words: Column) -> Column:
     def step(a: Column, w: Column) -> Column:
         return F.when(a["w"] == w, F.struct(a["w"].alias("w"), (a["n"] + 1.0).alias("n"), a["sum"].alias("sum"))).otherwise(F.struct(w.alias("w"), F.lit(1.0).alias("n"), weigh(a).alias("sum")))
 
-    norm = F.sqrt(F.aggregate(F.array_sort(words), zero, step, weigh))
-
-    def dot(t: dict[str, float]) -> Column:
+    def dot(own: Column, t: dict[str, float]) -> Column:
         m = _map(t)
-        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(m, w), F.lit(0.0)))
+        return F.aggregate(own, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(m, w), F.lit(0.0)))
+
+    def scored(own: Column, norm: Column) -> Column:
+        score = lambda k, t: F.struct(F.round(F.when(norm > 0, dot(own, t) / norm).otherwise(F.lit(0.0)), 6).alias("score"), F.lit(-k).alias("k"))
+        return F.array_max(F.array(*[score(k, t) for k, t in enumerate(templates)]))
 
-    dots = [dot(t) for t in templates]
-    scores = [F.struct(F.round(F.when(norm > 0, d / norm).otherwise(F.lit(0.0)), 6).alias("score"), F.lit(-k).alias("k")) for k, d in enumerate(dots)]
-    return F.array_max(F.array(*scores))
+    known = lambda w: F.filter(w, lambda x: F.map_contains_key(idf2, x))  # noqa: E731  terms of any template: others add nothing to a product
+    return _with(words, lambda w: _with(F.struct(known(w).alias("own"), F.sqrt(F.aggregate(F.array_sort(w), zero, step, weigh)).alias("norm")), lambda x: scored(x["own"], x["norm"])))
 
 
 def _terms(text: Column) -> Column:
@@ -104,8 +111,12 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     names = [c for c in df.columns if c.lower() not in new]
     text, path = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{path_col}`")
     names_of = F.array(*[F.lit(n) for n, _ in TEMPLATES])
-    cued = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE) | x.rlike(CUE_CC))
-    lines = F.when(text.rlike(CUE) | text.rlike(CUE_CC), F.transform(cued, lambda x: F.struct(_best(_terms(x)).alias("best"), F.size(_terms(x)).alias("n"))))
+    cue = f"{CUE}|{CUE_CC}"
+    cued = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(cue)), _terms)
+    held = F.lit(False)
+    for core in CUE_CORES:  # a cheap test that each text with a cue passes
+        held = held | text.contains(core)
+    lines = F.when(held, F.transform(cued, lambda t: F.struct(_best(t).alias("best"), F.size(t).alias("n"))))
     rows = df.select(*[F.col(f"`{c}`") for c in names], path.alias("_path"), text.alias("_text"), lines.alias("_lines"))
     found = F.filter("_lines", lambda x: x["best"]["score"] >= threshold)
     best = F.array_max(F.transform("_lines", lambda x: x["best"]))
