@@ -348,7 +348,7 @@ def evidence_roles(spark, d):
     return c.withColumn("role", rank.evidence_role(F.col("link"), F.col("kind"), F.col("raw")))
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 3) SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 6) AS distance FROM embeddings, q WHERE vec_id <> 3 ORDER BY round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 8), vec_id LIMIT 25""")
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 3) SELECT vec_id, round(round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 8), 6) AS distance FROM embeddings, q WHERE vec_id <> 3 ORDER BY round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 8), vec_id LIMIT 25""")
 def nearest_vectors(spark, d):
     """A top-k: the limit is the feature."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("canonical_key"), "embedding")
