@@ -405,3 +405,47 @@ SELECT user_id, min(ts) AS began, count(*) AS n FROM g GROUP BY user_id, sid""")
 def user_sessions(spark, d):
     e = read(spark, d, "events").groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return e.select("user_id", F.col("w.start").alias("began"), "n")
+
+
+# Extraction, admission and chunks.
+
+
+@query("SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, list_min(l) AS first_link, list_max(l) AS last_link FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages) WHERE len(l) > 0")
+def page_links(spark, d):
+    """Links that the HTML extractor finds in pages."""
+    from ..extractors import extract
+
+    files = read(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.col("html").cast("binary").alias("content"))
+    links = extract(files).where("kind = 'html.link'").groupBy("path").agg(F.count(F.lit(1)).alias("n_links"), F.min("target").alias("first_link"), F.max("target").alias("last_link"))
+    return links.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("page_id"), "n_links", "first_link", "last_link")
+
+
+@query(f"""WITH p AS ({PATHS}) SELECT doc_id, CASE WHEN starts_with(path, 'src3/') THEN 'binding_private' WHEN doc_id % 7 = 0 THEN 'artifact_private' WHEN ends_with(path, 'Makefile') OR ends_with(path, '.tar.gz') OR ends_with(path, 'go.mod') THEN 'unsupported_format'
+WHEN strlen(text) > 4000 THEN 'too_large' ELSE 'admitted' END AS reason FROM p""")
+def body_admission(spark, d):
+    from ..functions import policy
+
+    f = tables.document_files(spark, d).withColumn("language", classify.language(F.col("path")))
+    binding = policy.binding_exclusion(F.lit(False), F.col("path").startswith("src3/"), F.lit(True), F.lit("code"))
+    return f.select("doc_id", policy.body_admission(F.col("language"), F.octet_length("text"), F.col("doc_id") % 7 == 0, binding, 4000).alias("reason"))
+
+
+@query()
+def document_chunks(spark, d):
+    """Chunks of at most 80 lines and 8192 bytes: a state per line, which SQL can't express; tests hold it against its rules."""
+    return text.chunks(read(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query()
+def ranked_chunks(spark, d):
+    """Full-text ranking of documents by cover density."""
+    docs = read(spark, d, "documents").select("doc_id", F.lit("d").alias("path"), F.col("text").alias("chunk_text"))
+    _, out = lexical.ranked(docs, '"of the" -shall', ["doc_id"], max_chunks=10**9, max_files=10**9)
+    return out.select("doc_id", "score")
+
+
+@query()
+def family_digest(spark, d):
+    """The order-independent checksum of the node family."""
+    got = merge.family_checksum(tables.node_table(spark, d), F.col("canonical_key"), F.concat_ws("|", "kind", "display_name"))
+    return spark.createDataFrame([(got["rows"], got["digest"])], "n long, digest string")
