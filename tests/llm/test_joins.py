@@ -154,6 +154,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_texts_and_tags(spark):
+    """SPDX tags, notices over several lines, and full licence texts that a tree inherits."""
+    texts = dict(zip(licenses.FULL_TEXTS, licenses.full_texts(), strict=True))
+    code = "\nx = compute(value)" * 200
+    notice = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights"
+    tags = {
+        "MIT": "MIT", "Apache-2.0 */": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only-->": "GPL-2.0", "BSD-3-Clause": "BSD-3-Clause", "cc0-1.0": "CC0-1.0", "Zlib": "Zlib",
+        "(MIT OR  Apache-2.0)": "MIT OR Apache-2.0", "(MIT) OR (Zlib)": "(MIT) OR (Zlib)",
+    }
+    rows = [(f"tag/{k}.c", f"/* SPDX-License-Identifier: {tag}{code}") for k, tag in enumerate(tags)]
+    rows += [("tag/none.c", f"// SPDX-License-Identifier: NONE{code}"), ("tag/plain.c", code), ("notice/a.py", notice + code), ("notice/b.py", code)]
+    rows += [x for n, t in texts.items() for x in ((f"{n}/LICENSE", t.replace("<copyright holders>", "Ann Other").replace("<year>", "2020")), (f"{n}/src/deep/x.py", code))]
+    rows += [("untitled/LICENSE", texts["BSD-2-Clause"].replace("BSD 2-Clause License", ""))]
+    rows += [("agpl/LICENSE", texts["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC"))]
+    out = {r["path"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for k, name in enumerate(tags.values()):
+        r = out[f"tag/{k}.c"]
+        assert (r["own_license"], r["own_score"], r["is_license_file"], r["origin"]) == (name, 1.0, False, "header")
+    assert out["tag/none.c"]["license"] is None and out["tag/plain.c"]["origin"] == "none"
+    assert (out["notice/a.py"]["license"], out["notice/a.py"]["is_license_file"], out["notice/b.py"]["license"]) == ("MIT", False, None)
+    for n in texts:
+        top, deep = out[f"{n}/LICENSE"], out[f"{n}/src/deep/x.py"]
+        assert (top["own_license"], top["is_license_file"]) == (n, True) and top["own_score"] >= 0.95
+        assert (deep["license"], deep["origin"], deep["origin_dir"]) == (n, "directory", n)
+    assert (out["untitled/LICENSE"]["own_license"], out["untitled/LICENSE"]["is_license_file"]) == ("BSD-2-Clause", True)
+    assert out["agpl/LICENSE"]["own_license"] != "GPL-3.0"
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", "s", 0)]])
 def test_pipeline_of_nothing(spark, tmp_path, rows):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
