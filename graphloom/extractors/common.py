@@ -28,8 +28,9 @@ def secret_reason(name: str | None, value: str | None) -> str | None:
 
 
 def safe_value(name: str | None, value: str) -> tuple[str, str | None]:
+    """The whole value, or a mark in its place where it is secret, and why."""
     reason = secret_reason(name, value)
-    return ("[redacted]" if reason else value[:200], reason)
+    return ("[redacted]" if reason else value, reason)
 
 
 def redact(value, key: str | None = None):

@@ -218,22 +218,27 @@ def pointer(segments: list) -> str:
     return "".join("/" + str(s).replace("~", "~0").replace("/", "~1") for s in segments)
 
 
-def _paths(path: str, value, at: list, out: list[dict], depth: int = 0) -> None:
-    if depth > 12 or len(out) > 5000:
-        return
-    items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
-    for k, v in items:
-        where = [*at, k]
+def _paths(path: str, value, out: list[dict]) -> None:
+    """config.path and config.reference of every nested value, in the file's order; a walk without recursion, whatever the depth or number."""
+    items = lambda v: iter(v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ())
+    stack = [("", items(value))]
+    while stack:
+        at, rest = stack[-1]
+        k, v = next(rest, (None, rest))
+        if v is rest:
+            stack.pop()
+            continue
+        where = at + pointer([k])
         if isinstance(v, (dict, list)):
-            out.append(obs("config.path", path, None, pointer(where), value_type="object" if isinstance(v, dict) else "array"))
-            _paths(path, v, where, out, depth + 1)
+            out.append(obs("config.path", path, None, where, value_type="object" if isinstance(v, dict) else "array"))
+            stack.append((where, items(v)))
             continue
         shown, reason = safe_value(str(k), str(v)) if isinstance(v, str) else (None, None)
-        out.append(obs("config.path", path, None, pointer(where), value_type=type(v).__name__, redaction_reason=reason))
+        out.append(obs("config.path", path, None, where, value_type=type(v).__name__, redaction_reason=reason))
         if k == "$ref" and isinstance(v, str):
-            out.append(obs("config.reference", path, None, pointer(where), v))
+            out.append(obs("config.reference", path, None, where, shown))
         elif shown and not reason and re.match(r"^(?:\.{1,2}/|https?://)", shown):
-            out.append(obs("config.reference", path, None, pointer(where), shown))
+            out.append(obs("config.reference", path, None, where, shown))
 
 
 def _yaml(text: str):
@@ -299,7 +304,7 @@ def config(kind: str):
     def extract(path: str, text: str) -> list[dict]:
         value = parse(text)
         out = [obs("config.document", path, 1, path, format=kind)]
-        _paths(path, value, [], out)
+        _paths(path, value, out)
         name = path.rsplit("/", 1)[-1]
         if isinstance(value, dict):
             if "openapi" in value or "swagger" in value:

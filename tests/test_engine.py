@@ -11,6 +11,7 @@ from graphloom.extractors import extract, matching
 from graphloom.extractors.code import relative_base, segments, shell_words
 from graphloom.extractors.common import redact, sanitize
 from graphloom.extractors.documents import anchor, config, pointer, without_comments
+from graphloom.extractors.registry import extract_file
 from graphloom.functions import classify, rank, text
 from graphloom.operators import canonical, context, lexical, merge, publish, read, similar, summary
 from graphloom.session import GraphSession
@@ -267,3 +268,18 @@ def test_packet_limits():
 
 def test_without_fixture_leftovers():
     assert not os.path.exists(os.path.join(REPO, "spark-warehouse")) and shutil.which("java")
+
+
+def test_config_is_read_whole():
+    """No depth, number of values or length of a target is cut; secrets are withheld."""
+    lines = "\n".join(json.dumps({"id": k, "$ref": f"./r{k}"}) for k in range(6000))
+    got = [o for o in config("jsonl")("x.jsonl", lines) if o["kind"] != "config.document"]
+    assert [o["name"] for o in got if o["kind"] == "config.path"] == [x for k in range(6000) for x in (f"/{k}", f"/{k}/id", f"/{k}/$ref")]
+    assert [o["target"] for o in got if o["kind"] == "config.reference"] == [f"./r{k}" for k in range(6000)]
+    deep = '{"a":' * 300 + '"./end"' + "}" * 300
+    assert config("json")("d.json", deep)[-1]["name"] == "/a" * 300 and config("json")("d.json", deep)[-1]["target"] == "./end"
+    url = "https://example.org/" + "p" * 500
+    targets = [o["target"] for o in config("json")("u.json", json.dumps({"u": url, "token": url, "$ref": "https://a:b@c/"})) if o["kind"] == "config.reference"]
+    assert targets == [url, "[redacted]"]
+    shell = extract_file("x.sh", "bash", f"curl {url}\n".encode())
+    assert [o["target"] for o in shell if o["kind"] == "shell.network"] == [url]
