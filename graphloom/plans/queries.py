@@ -152,6 +152,17 @@ def upsert(spark, d):
     return merge.upsert(current, c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("v")), ["k"], 2)
 
 
+@query("""WITH p AS (SELECT c_custkey AS k, upper(c_name) AS v FROM customer WHERE c_acctbal > 0)
+SELECT c_custkey AS k, CASE WHEN p.k IS NOT NULL THEN p.v ELSE c_mktsegment END AS v, 1 AS first_seen_run_id, CASE WHEN p.k IS NOT NULL THEN 2 ELSE 1 END AS last_seen_run_id FROM customer LEFT JOIN p ON c_custkey = p.k
+UNION ALL SELECT -1 - s_suppkey, upper(s_name), 2, 2 FROM supplier""")
+def upsert_whole(spark, d):
+    """All customers as current; those with a balance, and all suppliers as new keys, as proposed."""
+    c = read(spark, d, "customer")
+    current = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.lit(1).alias("first_seen_run_id"), F.lit(1).alias("last_seen_run_id"))
+    proposed = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("v"))
+    return merge.upsert(current, proposed.union(read(spark, d, "supplier").select(-1 - F.col("s_suppkey"), F.upper("s_name"))), ["k"], 2)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 20)")
 def missing_references(spark, d):
     return merge.missing_references(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", read(spark, d, "customer").where("c_nationkey < 20"), "c_custkey")
@@ -288,6 +299,12 @@ def markdown_anchors(spark, d):
     return read(spark, d, "benchmark").select("item_id", text.markdown_anchor(F.concat(F.substring("text", 1, 60), F.lit(" [x](y) *z*"))).alias("anchor"))
 
 
+@query("""SELECT item_id, CASE WHEN a = '' THEN 'section' ELSE a END AS anchor FROM (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(regexp_replace(text || ' [x](y) *z*', '[`*_\\[\\]()]', '', 'g')), ' '), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS a FROM benchmark)""")
+def markdown_anchors_whole(spark, d):
+    """Anchors of whole texts."""
+    return read(spark, d, "benchmark").select("item_id", text.markdown_anchor(F.concat("text", F.lit(" [x](y) *z*"))).alias("anchor"))
+
+
 @query("""WITH h AS (SELECT doc_id, text, unnest(range(1, length(text) - 3)) AS pos FROM documents WHERE contains(text, 'anan')) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(1 + length(substr(text, 1, pos - 1)) - length(replace(substr(text, 1, pos - 1), chr(10), '')) AS INTEGER) AS start_line,
 CAST(1 + length(substr(text, 1, pos - 1)) - length(replace(substr(text, 1, pos - 1), chr(10), '')) AS INTEGER) AS end_line FROM h WHERE substr(text, pos, 4) = 'anan'""")
 def literal_occurrences(spark, d):

@@ -24,3 +24,12 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf, db, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(db.execute(SQL[name]).df())
+
+
+def test_whole_inputs(spark, sf, db):
+    """Anchors come of whole texts, and all customers enter the merge."""
+    anchors = [r["anchor"] for r in QUERIES["markdown_anchors_whole"](spark, sf).collect()]
+    assert max(map(len, anchors)) > 72 and len(anchors) == db.execute("SELECT count(*) FROM benchmark").fetchone()[0]
+    out = QUERIES["upsert_whole"](spark, sf).collect()
+    assert {r["k"] for r in out if r["k"] >= 0} == {k for (k,) in db.execute("SELECT c_custkey FROM customer").fetchall()}
+    assert {(r["first_seen_run_id"], r["last_seen_run_id"]) for r in out} == {(1, 1), (1, 2), (2, 2)}
