@@ -21,6 +21,7 @@ WIDTH = 5  # words of a shingle
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 40  # a pair at the threshold shares no band with a chance of 5e-6
 HASHES = ROWS * BANDS
+MISS = 6e-6  # the most of that chance for other thresholds
 STEP = 24  # hashes compared at a time
 TOLERANCE = 1e-9  # a pair is dropped when its chance to reach the threshold is less
 BLOCK = 512  # classes of a block; a tile has two blocks at most
@@ -46,6 +47,16 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+def bands_for(threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(rows, bands) of HASHES at most, of the most rows with which a pair at the threshold shares no band with a chance of MISS at most."""
+    if threshold >= THRESHOLD:
+        return ROWS, BANDS
+    for rows in range(ROWS, 0, -1):
+        if threshold > 0 and (1 - threshold**rows) ** (HASHES // rows) <= MISS:
+            return rows, HASHES // rows
+    raise ValueError(f"{HASHES} hashes miss pairs at a threshold of {threshold} with a chance above {MISS}")
+
+
 def signatures(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """MinHash values (n, HASHES) of the texts, and which of them have a word at all."""
     n = len(offsets) - 1
@@ -71,15 +82,15 @@ def signatures(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, counts > 0
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band (n, BANDS); the band's number enters it."""
-    x = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
-    for r in range(ROWS):
-        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS][:, :BANDS].astype(np.uint64))
+def band_keys(sig: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """A 64-bit key for each band (n, bands); the band's number enters it."""
+    x = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
+    for r in range(rows):
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows][:, :bands].astype(np.uint64))
     return x.view(np.int64)
 
 
-def _band_rows(batches):
+def _band_rows(batches, rows: int, bands: int):
     """(node, bands) of each text with a word: its key's first 64 bits, and its band keys. Columns in: key, text."""
     for batch in batches:
         keys, out_n, out_b = batch.column(0).to_pylist(), [], []
@@ -87,10 +98,10 @@ def _band_rows(batches):
             sig, good = signatures(buf, offsets)
             at = np.flatnonzero(good)
             out_n.append(_nodes([keys[lo + d] for d in at]))
-            out_b.append(band_keys(sig[at]).reshape(-1))
+            out_b.append(band_keys(sig[at], rows, bands).reshape(-1))
         n = pa.array(np.concatenate(out_n) if out_n else np.zeros(0, np.int64))
         b = pa.array(np.concatenate(out_b) if out_b else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([n, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), b)], names=["node", "bands"])
+        yield pa.RecordBatch.from_arrays([n, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), b)], names=["node", "bands"])
 
 
 def _nodes(keys: list[bytes]) -> np.ndarray:
@@ -134,13 +145,13 @@ def _pairs(lo: int, hi: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo + i, lo + j
 
 
-def _prune(batches, bars: list[int], rows_out: list[str]):
+def _prune(batches, bars: list[int], rows_out: list[str], shape: tuple[int, int]):
     """For each class of a tile, the places in the tile of the classes that it may reach the threshold with, each pair once."""
     for t in _Tiles()(batches):
         tile, side = t.column("tile").to_numpy(), t.column("side").to_numpy()
         band = t.column("band").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-        keys = band_keys(sig)
+        keys = band_keys(sig, *shape)
         bounds = _bounds(tile)
         found_i, found_j, start = [], [], 0
 
@@ -246,21 +257,21 @@ def _verify(batches, threshold: float):
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df with class_id, n_links (long), kept and repeated (boolean).
 
-    Texts are linked whose sets of word five-grams have a Jaccard similarity of at least `threshold`; equal texts are linked too.
+    Texts are linked whose sets of word five-grams have a Jaccard similarity of at least `threshold` (0.8, or less with more and shorter bands; below about 0.049 is refused); equal texts are linked too.
     class_id: the smallest id reachable by links; n_links: other rows linked directly, copies included; kept: true for one row of each
     group of linked rows, that with the smallest id (nulls last), and for rows without links. A text of one to four words has a single
     shingle, all its words. Null texts, and texts without words, link with nothing: class_id is their own id, n_links 0. Repeated rows
     count as copies;
     where the row to keep is one of several equal in id and text, all of these are `kept` and `repeated`, and one_of_each keeps one. Columns with these names are replaced. An empty table gives an empty table.
     """
-    spark = df.sparkSession
+    spark, shape = df.sparkSession, bands_for(threshold)
     names = [c for c in df.columns if c.lower() not in ("class_id", "n_links", "kept", "repeated")]
     ids, texts = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     text_key = F.when(texts.rlike("[^\\x20\\x09-\\x0D]"), F.unhex(F.md5(texts.cast("binary"))))  # null: no word
     docs = df.select(ids.alias("id"), text_key.alias("key"), texts.alias("text")).where("key is not null")
 
     # Buckets: band keys that different texts share.
-    bands = durable(docs.select("key", "text").mapInArrow(_band_rows, "node bigint, bands array<bigint>"))
+    bands = durable(docs.select("key", "text").mapInArrow(lambda b: _band_rows(b, *shape), "node bigint, bands array<bigint>"))
     spread = bands.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = durable(spread.join(shared, "bucket").distinct())
@@ -286,7 +297,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ready = tiled.join(texts_of.select("node", "key", "sig"), "node").select("tile", "side", "band", "key", "sig").repartition("tile").sortWithinPartitions("tile")
     bars = least_matches(threshold)
     columns = ["tile", "place", "key", "partners"]
-    near = durable(ready.mapInArrow(lambda b: _prune(b, bars, columns), "tile bigint, place int, key binary, partners array<int>"))
+    near = durable(ready.mapInArrow(lambda b: _prune(b, bars, columns, shape), "tile bigint, place int, key binary, partners array<int>"))
 
     # Exact sets decide.
     classes = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))

@@ -82,6 +82,24 @@ def test_pruning_bars():
     assert bars == sorted(bars) and bars[-1] < 0.8 * ngram_join.HASHES
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.7])
+def test_ngram_join_low_threshold(spark, threshold):
+    """Pairs right at a lower threshold are all linked."""
+    r, rows, n = random.Random(3), [], 400
+    for k in range(n):
+        words = [f"w{r.randrange(10**9)}" for _ in range(64)]  # 60 shingles; c common ones of 2 * 60 - c
+        c = next(c for c in range(61) if c >= threshold * (120 - c))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: c + 4] + [f"v{r.randrange(10**9)}" for _ in range(60 - c)]))]
+    out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in out} == {k: (k - k % 2, 1) for k in range(2 * n)}
+
+
+def test_band_shapes():
+    assert [ngram_join.bands_for(t) for t in (0.95, 0.8, 0.7, 0.5, 0.05)] == [(6, 40), (6, 40), (4, 60), (2, 120), (1, 240)]
+    with pytest.raises(ValueError):
+        ngram_join.bands_for(0.04)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(a, a + 1) for a in range(0, 300) if a % 50] + [(rng.randint(1000, 1100), rng.randint(1000, 1100)) for _ in range(60)] + [(None, 3), (5, 5)]
