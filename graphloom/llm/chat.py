@@ -48,16 +48,16 @@ def unescaped(text: Column, t: Template) -> Column:
     return F.replace(out, F.lit(t.escape + "0"), F.lit(t.escape))
 
 
-def _final_state(turns: Column, t: Template) -> Column:
-    """The machine's state after all turns; '!' once a role has no next state."""
+def _machine(turns: Column, t: Template) -> Column:
+    """struct<state, n>: the machine's state after all turns, '!' once a role has no next state, and how many turns it has read."""
 
-    def step(state: Column, turn: Column) -> Column:
+    def step(at: Column, turn: Column) -> Column:
         out = F.lit("!")
         for a, role, b in t.machine:
-            out = F.when((state == a) & (turn["role"] == role), F.lit(b)).otherwise(out)
-        return out
+            out = F.when((at["state"] == a) & (turn["role"] == role), F.lit(b)).otherwise(out)
+        return F.struct(out.alias("state"), (at["n"] + 1).alias("n"))
 
-    return F.aggregate(turns, F.lit(t.begin), step)
+    return F.aggregate(turns, F.struct(F.lit(t.begin).alias("state"), F.lit(0).cast("long").alias("n")), step)
 
 
 def format_chats(df: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -84,7 +84,8 @@ def format_chats(df: DataFrame, template: Template | None = None, conv_col: str
             ),
         )
     )
-    chats = chats.select("_conv", F.size("_turns").cast("long").alias("n_turns"), _final_state(F.col("_turns"), t).isin(*t.accepting).alias("valid"), segments.alias("segments"))
+    chats = chats.select("_conv", _machine(F.col("_turns"), t).alias("_end"), segments.alias("segments"))  # n_turns is the machine's count, so it runs on every conversation
+    chats = chats.select("_conv", F.col("_end.n").alias("n_turns"), F.col("_end.state").isin(*t.accepting).alias("valid"), "segments")
     return chats.select(F.col("_conv").alias(conv_col), "n_turns", "valid", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
 
 

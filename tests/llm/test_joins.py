@@ -158,6 +158,12 @@ def test_chat_probe(spark, sf):
     assert r["loss_sha256"] == hashlib.sha256(probe.encode()).hexdigest() and r["loss_chars"] == len(probe)
 
 
+def test_chat_machine_runs(spark, sf):
+    """The machine's states stand in the query's plan after columns are pruned."""
+    plan = QUERIES["op7_chat_formatting"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(state in plan for state in ("instructed", "asked", "answered"))
+
+
 def test_licenses(spark):
     rows = [
         ("a/b/c/x.py", "print(1)", "k"), ("a/LICENSE", "Licensed under the Apache License, Version 2.0.\n", "k"), ("a/b/y.py", "Released under the MIT License.\n" + "code " * 50, "k"),
