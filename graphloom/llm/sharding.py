@@ -19,8 +19,8 @@ PARAMETERS = {
 def shard_by_size(df: DataFrame, key_col: str, size_col: str, shards: int = 40, **parameters) -> DataFrame:
     """Add shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard), the sums of size_col nearly equal.
 
-    1. A sample, drawn with a chance that grows with size, gives splitters at equal steps of size over the order of (hash of the key,
-       key); every record goes to its range. 2. Ranges of more than `slack` times the mean size or rows are divided by a record's place:
+    1. A sample, drawn with a chance that grows with size, gives splitters at equal steps of size over the order of the key's
+       hash; every record goes to its range. 2. Ranges of more than `slack` times the mean size or rows are divided by a record's place:
        equal keys and repeated rows come apart. 3. Ranges are dealt to shards in order, where the running size says; a range that
        crosses a shard's end is divided there by its records' running size. Null keys are one key; null, zero or negative sizes count 0.
     Records are cut durably first (keep the columns few). The driver gets splitters, sums of sizes and a sum for each range: bounded
