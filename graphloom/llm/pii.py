@@ -27,7 +27,7 @@ EXTRA = ("email", "ip", "card", "phone", "secret")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 
-# Generators of further candidates: (kind, pattern, what a text must hold for the pattern to match at all).
+# Generators of further candidates: (kind, pattern, what a text must hold for the pattern to match at all, or None).
 GENERATORS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?[A-Za-z0-9-]{2,63}(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?)[A-Za-z0-9-]{2,24})+"), ("[", "(", "{")),
     ("email", re.compile(r"\b[A-Za-z0-9._%+-]{2,64} at [A-Za-z0-9-]{2,63}(?: dot [A-Za-z]{2,24})+\b"), (" dot ",)),
@@ -35,7 +35,7 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![\w+.-])00[1-9]\d{0,2}(?:[ .()-]{1,2}\d{2,5}){2,5}(?![\w-])", re.ASCII), ("00",)),
     ("card", re.compile(r"(?<![\w.-])\d{4}(?:[._/]|  | |‑)\d{4,6}(?:[._/]|  | |‑)\d{4,5}(?:(?:[._/]|  | |‑)\d{1,4})?(?![\w-])"), "0123456789"),
     ("ip", re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\w:])", re.ASCII), (":",)),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z]{3,5}[0-9A-Z]{12,36}(?![A-Za-z0-9])"), "0123456789"),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z]{3,5}[0-9A-Z]{12,36}(?![A-Za-z0-9])"), None),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[a-z]{2,8}[_-]){1,3}[A-Za-z0-9]{16,64}(?![A-Za-z0-9])"), ("_", "-")),
     ("secret", re.compile(r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|auth)\s?[=:]\s?[\"']?([^\s\"',;]{6,128})"), ("=", ":")),
 )
@@ -94,7 +94,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     digit = any(c in text for c in "0123456789")
     for kind, pattern, needs in GENERATORS:
-        if digit if needs == "0123456789" else any(x in text for x in needs):
+        if needs is None or (digit if needs == "0123456789" else any(x in text for x in needs)):
             for m in pattern.finditer(text):
                 g = 1 if pattern.groups else 0
                 out.append((kind, m.start(g), m.end(g)))
