@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,13 @@ def nearest(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", v
     return scored.orderBy("distance", id_col).limit(k)
 
 
+def nearest_each(vectors: DataFrame, seeds: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """seed, id_col, distance: for each seed the k other rows nearest to it, as nearest orders them. Each task keeps k rows of a seed."""
+    asked = seeds.select(F.col(id_col).alias("seed"), F.col(vector_col).alias("_query"))
+    scored = vectors.join(asked, F.col(id_col) != F.col("seed")).select("seed", id_col, F.round(1 - cosine(F.col(vector_col), F.col("_query")), 8).alias("distance"))
+    return scored.withColumn("_rank", F.row_number().over(Window.partitionBy("seed").orderBy("distance", id_col))).where(F.col("_rank") <= k).drop("_rank")
+
+
 def similar_nodes(embeddings: DataFrame, seed_key: str, k: int, key_col: str = "canonical_key", vector_col: str = "embedding", in_scope: DataFrame | None = None) -> tuple[str, DataFrame | None]:
     """("ok", the k nodes nearest to a stored node's vector, itself left out), or a status where the seed isn't exactly one."""
     seed = [r[0] for r in embeddings.where(F.col(key_col) == seed_key).select(vector_col).limit(2).collect()]

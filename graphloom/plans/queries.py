@@ -373,6 +373,14 @@ def nearest_vectors(spark, d):
     return out.select(F.col("canonical_key").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS seed, e.vec_id, round(1 - list_cosine_similarity(e.v, q.v), 8) AS d FROM e JOIN e q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT seed, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY d, vec_id) AS r FROM p) WHERE r <= 25""")
+def nearest_vectors_each(spark, d):
+    """Every row whose id is divisible by 50 as a seed against all rows; the top-k is the feature."""
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return similar.nearest_each(rows, rows.where("vec_id % 50 = 0"), 25).select("seed", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT vec_id, len(embedding) = 64 AND abs(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) - 1) <= 1e-5 AS valid FROM embeddings")
 def vector_validation(spark, d):
     return read(spark, d, "embeddings").select("vec_id", similar.valid_vector(F.col("embedding"), 64).alias("valid"))

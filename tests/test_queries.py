@@ -33,3 +33,9 @@ def test_whole_inputs(spark, sf, db):
     out = QUERIES["upsert_whole"](spark, sf).collect()
     assert {r["k"] for r in out if r["k"] >= 0} == {k for (k,) in db.execute("SELECT c_custkey FROM customer").fetchall()}
     assert {(r["first_seen_run_id"], r["last_seen_run_id"]) for r in out} == {(1, 1), (1, 2), (2, 2)}
+
+
+def test_every_seed(spark, sf, db):
+    """Each vec_id divisible by 50 is a seed with its own 25 rows."""
+    seeds = [r["seed"] for r in QUERIES["nearest_vectors_each"](spark, sf).collect()]
+    assert {s: seeds.count(s) for s in seeds} == {k: 25 for (k,) in db.execute("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0").fetchall()}
