@@ -161,6 +161,28 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
     return h, np.bincount(doc, minlength=len(counts)).astype(np.int64) if len(doc) else np.zeros(len(counts), np.int64)
 
 
+def free_name(name: str, taken) -> str:
+    """The name, or one that begins with it and that no column has, in any case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def packed_rest(names: list[str]):
+    """The columns of these names as one struct, so that an operator's own names can't clash with them; unpacked() gives them back."""
+    from pyspark.sql import functions as F
+
+    quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    return F.struct(*quoted) if quoted else F.lit(None).cast("int")
+
+
+def unpacked(rest: str, names: list[str]) -> list:
+    from pyspark.sql import functions as F
+
+    return [F.col(rest)[n].alias(n) for n in names]
+
+
 def with_columns(df: DataFrame, fields: list[tuple[str, str]], make, inputs: list[str]) -> DataFrame:
     """Add columns computed batch by batch from the columns `inputs`, by Arrow, keeping all others.
 
@@ -179,11 +201,11 @@ def with_columns(df: DataFrame, fields: list[tuple[str, str]], make, inputs: lis
 
     def run(batches):
         for batch in batches:
-            got = make([batch.column(batch.schema.get_field_index(f"_in{i}")) for i in range(len(inputs))])
+            got = make([batch.column(len(kept) + i) for i in range(len(inputs))])
             cols = [batch.column(i) for i in range(len(kept))]
             cols += [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     q = lambda n: df["`" + n.replace("`", "``") + "`"]
-    shaped = df.select(*[q(n) for n in kept], *[q(n).alias(f"_in{i}") for i, n in enumerate(inputs)])
+    shaped = df.select(*[q(n) for n in kept], *[q(n).alias(free_name(f"_in{i}", kept)) for i, n in enumerate(inputs)])
     return shaped.mapInArrow(run, schema)
