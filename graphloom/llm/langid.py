@@ -7,6 +7,8 @@ byte pairs: the convolution over a text is then a few table look-ups.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,6 +107,12 @@ class Network:
                 np.add.at(g["emb"], np.take_along_axis(x, at + k, axis=1), to_emb[:, k * e : (k + 1) * e].transpose(0, 2, 1))
         return g
 
+    def digest(self) -> str:
+        h = hashlib.sha256(repr((self.classes, sorted(self.p.items()))).encode())
+        for name in sorted(self.w):
+            h.update(name.encode() + self.w[name].tobytes())
+        return h.hexdigest()
+
     def tabulate(self) -> Network:
         """Tables of responses: of widths 2 and 4 for pairs of bytes, of width 3 for a pair and a byte."""
         e, w = self.p["embedding"], self.w
@@ -187,7 +195,7 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> Data
     Null and empty texts, and those without a letter, are `und` with score 0; so is all if net is None (nothing to learn from).
     One pass without a shuffle. Columns of df with these names are replaced. The network (fixed size, under 15 MB) is broadcast.
     """
-    shared = df.sparkSession.sparkContext.broadcast((net.classes, net.p, net.w) if net else None)
+    shared = df.sparkSession.sparkContext.broadcast((net.digest(), net.classes, net.p, net.w) if net else None)
 
     def make(cols):
         return predict_texts(_network(shared), cols[0])
@@ -195,17 +203,17 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> Data
     return with_columns(df, [("lang_pred", "string"), ("score", "double")], make, [text_col])
 
 
-_networks: dict[object, Network] = {}
+_networks: dict[str, Network] = {}  # this worker's network, by the digest of its weights
 
 
 def _network(shared) -> Network | None:
     if shared.value is None:
         return None
-    key = id(shared.value)
+    key, classes, p, w = shared.value
     if key not in _networks:
         _networks.clear()
         net = Network.__new__(Network)
-        net.classes, net.p, net.w = shared.value
+        net.classes, net.p, net.w = classes, p, w
         net.tables = None
         _networks[key] = net.tabulate()
     return _networks[key]
