@@ -251,7 +251,10 @@ def bpe_encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", decode:
 
 
 def bpe_digests(df: DataFrame, vocabulary: bytes, text_col: str = "text") -> DataFrame:
-    """As bpe_encode, with digests in place of ids and text: n_tokens, ids_sha256 and decoded_sha256 (lowercase hex)."""
+    """As bpe_encode, with digests in place of ids and text: n_tokens, ids_sha256 and decoded_sha256 (lowercase hex).
+
+    Null and empty texts have the digests of nothing. Each of several equal rows has its result; an empty table gives an empty table.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make(cols):

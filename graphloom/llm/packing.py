@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, text_ids
-from .common import durable
+from .common import durable, free_name, packed_rest, unpacked
 
 CAPACITY = 2048
 GROUP_ROWS = 20_000
@@ -94,14 +94,14 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
     has nulls. Repeated rows are packed each. An empty table gives an empty table. Columns named sequence_id or offset are replaced.
     Rows are first cut durably, as their ranks must not change when a task runs again. To the driver goes one count for each length.
     """
-    pieces = pieces.drop("sequence_id", "offset")
-    names = pieces.columns
-    base = durable(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    good = F.col(length_col).between(1, capacity)
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    length = F.col("`" + length_col.replace("`", "``") + "`")
+    base = durable(pieces.select(packed_rest(names).alias("rest"), length.alias("_size"), F.monotonically_increasing_id().alias("_row")))
+    good = F.col("_size").between(1, capacity)
     total = base.where(good).count()
     groups = max(1, -(-total // group_rows))
     keyed = base.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
-    per = keyed.where("_good").groupBy(F.col(length_col).alias("_len"), "_group").agg(F.count(F.lit(1)).alias("_n"))
+    per = keyed.where("_good").groupBy(F.col("_size").alias("_len"), "_group").agg(F.count(F.lit(1)).alias("_n"))
     per = durable(per)
     counts = {int(r["_len"]): int(r["n"]) for r in per.groupBy("_len").agg(F.sum("_n").alias("n")).collect()}
     places = _places(plan(counts, capacity))
@@ -112,7 +112,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
 
     before = per.withColumn("_before", F.sum("_n").over(Window.partitionBy("_len").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)))
     starts = before.select("_group", "_len", F.coalesce("_before", F.lit(0)).cast("long").alias("_start"))
-    ranked = keyed.withColumn("_len", F.when(F.col("_good"), F.col(length_col))).withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_len").orderBy("_row")) - 1)
+    ranked = keyed.withColumn("_len", F.when(F.col("_good"), F.col("_size"))).withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_len").orderBy("_row")) - 1)
     ranked = ranked.join(starts, ["_group", "_len"], "left").withColumn("_rank", F.col("_rank") + F.col("_start"))  # null where the length is odd
 
     @F.pandas_udf("struct<s:long,o:long>")
@@ -130,8 +130,8 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
             out.loc[ok, "o"] = t[k, 4]
         return out
 
-    placed = ranked.withColumn("_at", place(F.col(length_col).cast("long"), F.col("_rank").cast("long")))
-    return placed.select(*names, F.col("_at.s").alias("sequence_id"), F.col("_at.o").alias("offset"))
+    placed = ranked.withColumn("_at", place(F.col("_size").cast("long"), F.col("_rank").cast("long")))
+    return placed.select(*unpacked("rest", names), F.col("_at.s").alias("sequence_id"), F.col("_at.o").alias("offset"))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -143,7 +143,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(df: DataFrame, vocabulary: bytes, text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """One row per piece with the other columns of df and piece, start, length, ids_crc32 and, on demand, ids (binary, little-endian).
 
-    A document's ids end with end_id; null and empty texts have just that. Columns with these names are replaced, and text_col goes.
+    A document's ids end with end_id; null and empty texts have just that. Each of several equal rows has its pieces; an empty table has
+    none. Columns with these names are replaced, and text_col goes.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -173,7 +174,7 @@ def token_pieces(df: DataFrame, vocabulary: bytes, text_col: str = "text", capac
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     q = lambda n: df["`" + n.replace("`", "``") + "`"]
-    return df.select(*[q(f.name) for f in keep], q(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(*[q(f.name) for f in keep], q(text_col).alias(free_name("_text", df.columns))).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, vocabulary: bytes, text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
