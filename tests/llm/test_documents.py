@@ -78,6 +78,37 @@ def test_language(spark, odd, sf):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark, odd):
+    """Every text's language and score, against the convolution over its windows, one by one."""
+    net = langid.train(odd, "text", "lang", "doc_id", epochs=1)
+    for r in langid.identify(odd, net).collect():
+        raw = (r["text"] or "").encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        prob = []
+        for lo in range(0, len(raw), 256):
+            emb = net.w["emb"][np.frombuffer(raw[lo : lo + 256].ljust(256, b"\0"), np.uint8)]
+            feats = [max(0.0, *(float((np.concatenate(emb[t : t + w]) * net.w[f"f{w}"][:, f]).sum()) for t in range(256 - w + 1))) for w in langid.WIDTHS for f in range(net.p["filters"])] if lo < 2048 else None
+            if feats is None:
+                break
+            z = np.array(feats) @ net.w["out"] + net.w["bias"]
+            prob.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        if len(raw) <= 2048:
+            mean = np.mean(prob, axis=0)
+            assert r["lang_pred"] == net.classes[int(mean.argmax())] and abs(r["score"] - mean.max()) < 1e-4
+
+
+def test_language_models_apart(spark):
+    """Two models in one worker keep apart."""
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate([("aaa bbb aaa", "p"), ("zzz yyy zzz", "q")] * 20)], "doc_id long, text string, lang string")
+    one, two = (langid.train(df.selectExpr("doc_id", "text", f"{c} as lang"), "text", "lang", "doc_id") for c in ("lang", "upper(lang)"))
+    assert one.digest() != two.digest()
+    for _ in range(2):
+        for net, names in ((one, {"p", "q"}), (two, {"P", "Q"})):
+            assert {r["lang_pred"] for r in langid.identify(df, net).collect()} == names
+
+
 def test_language_tables_match_convolution():
     net = langid.Network(["a", "b"], langid.PARAMETERS)
     x = np.random.default_rng(1).integers(0, 256, (3, 256)).astype(np.uint8)
@@ -154,6 +185,52 @@ def test_packing_odd_lengths(spark):
     assert rows[4]["sequence_id"] == rows[5]["sequence_id"] and {rows[4]["offset"], rows[5]["offset"]} == {0, 7}
 
 
+def brute_packing(lengths, capacity):
+    """Best-two-fit over single pieces, by trying every pair: the sorted lengths of each bin."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                own.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [a + b for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= room]
+            if pairs and max(pairs) > own[-1]:
+                a, b = next((a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a + b == max(pairs))
+                left.append(own.pop())
+                left.remove(a), left.remove(b)
+                left.sort(reverse=True)
+                own += [a, b]
+        out.append(sorted(own))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_against_brute_force(seed):
+    """Every piece is in one bin, none is overfull, and bins are as few as those of the plain method on single pieces, or within one."""
+    rng, capacity = random.Random(seed), 64
+    lengths = [rng.choice((rng.randint(1, 64), rng.randint(1, 20), 33, 31)) for _ in range(rng.randint(1, 120))]
+    plan = packing.plan(Counter(lengths), capacity)
+    assert Counter(x for sizes, n in plan for x in sizes * n) == Counter(lengths) and all(sum(sizes) <= capacity for sizes, _ in plan)
+    assert abs(sum(n for _, n in plan) - len(brute_packing(lengths, capacity))) <= 1
+
+
+def test_packing_against_plan(spark):
+    """Each row's place, against the plan followed piece by piece."""
+    rng = random.Random(1)
+    lengths = [rng.choice((rng.randint(1, 2048), rng.randint(1, 300), 2048)) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "k int, length int").repartition(7)
+    rows = packing.pack_pieces(df, group_rows=200).collect()
+    assert check_packing(rows) == sum(n for _, n in packing.plan(Counter(lengths), 2048))
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append(r["length"])
+    assert Counter(tuple(sorted(b)) for b in bins.values()) == Counter(tuple(sorted(s)) for s, n in packing.plan(Counter(lengths), 2048) for _ in range(n))
+
+
 def test_two_for_one():
     # 1200 + 500 leaves 348; 500 gives way to 420 + 420, which fill 840 of 848
     plan = packing.plan({1200: 1, 500: 1, 420: 2}, 2048)

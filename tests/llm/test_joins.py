@@ -151,6 +151,17 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_illegal_orders(spark):
+    """Each order that the machine refuses, with the turn where it does; the loss is on assistants' texts all the same."""
+    letters = {"S": "system", "U": "user", "A": "assistant", "X": "tool"}
+    orders = {"UA": None, "SUA": None, "SUAUA": None, "S": 1, "U": 1, "UAU": 3, "A": 0, "AU": 0, "SA": 1, "SS": 1, "USA": 1, "UU": 1, "UAA": 2, "UAS": 2, "SUAX": 3, "XUA": 0, "UASUA": 2, "UA" * 400 + "U": 801, "UA" * 300 + "A" + "UA" * 50: 600}
+    rows = [(k, i, letters[c], f"t{i}") for k, order in enumerate(orders) for i, c in enumerate(order)]
+    out = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for k, (order, bad) in enumerate(orders.items()):
+        assert (out[k]["valid"], out[k]["bad_turn"], out[k]["n_turns"]) == (bad is None, bad, len(order))
+        assert [s["loss"] for s in out[k]["segments"]] == [x for c in order for x in (False, c == "A", False)]
+
+
 def test_chat_probe(spark, sf):
     r = next(r for r in QUERIES["op7_chat_formatting"](spark, sf).collect() if r["conv_id"] == -7)
     probe = "</s>[INST] ok [/INST]"
