@@ -237,15 +237,35 @@ def test_two_for_one():
     assert sorted(plan[0][0]) == [420, 420, 1200]
 
 
+def check_shards(rows, shards, key=None, slack=0.02):
+    """Slots are gapless, bytes are within a fiftieth of the mean or one record, and but for large records shards are runs of keys, but for the ranges where they end."""
+    slots, sizes, keys = defaultdict(list), Counter({s: 0 for s in range(shards)}), defaultdict(list)
+    total = sum(max(0, r["size"] or 0) for r in rows)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += max(0, r["size"] or 0)
+        if key and (r["size"] or 0) * shards * 50 <= total:
+            keys[r["shard"]].append(r[key])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(sizes) == set(range(shards))
+    mean, most = total / shards, max([r["size"] or 0 for r in rows])
+    assert max(sizes.values()) <= mean + max(mean / 50, most) and min(sizes.values()) >= mean - max(mean / 50, most)
+    if key:
+        own = sorted((k, s) for s, v in keys.items() for k in v)
+        middle = {s: sorted(v)[len(v) // 2] for s, v in keys.items()}
+        place = {s: i for i, s in enumerate(sorted(middle, key=middle.get))}
+        most, out = -1, 0  # out of order: only within the divided range that holds a shard's end
+        for _, s in own:
+            out += place[s] < most
+            most = max(most, place[s])
+        assert out <= slack * len(own)
+    return sizes
+
+
 def test_sharding(spark, odd):
     rows = QUERIES["op6_sharding"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000
-    slots, sizes = defaultdict(list), Counter()
-    for r in rows:
-        slots[r["shard"]].append(r["slot"])
-        sizes[r["shard"]] += r["size"]
-    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) == set(range(40))
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in rows)
+    sizes = check_shards(rows, 40)
+    assert max(sizes.values()) <= 1.02 * sum(sizes.values()) / 40 and min(sizes.values()) >= 0.98 * sum(sizes.values()) / 40
     hot = spark.range(3000).selectExpr("7 as k", "100 as size", "'s' as shard")
     out = sharding.shard_by_size(hot, "k", "size", 4).collect()
     assert max(Counter(r["shard"] for r in out).values()) <= 760 and out[0]["shard"] in range(4)
@@ -254,6 +274,26 @@ def test_sharding(spark, odd):
     assert sorted(r["slot"] for r in sharding.shard_by_size(null, "k", "size", 1).collect()) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "hot", "null"])
+def test_sharding_against_brute_force(spark, kind):
+    """Ranges of keys in order, also with small parameters that make many levels and pieces; the brute force is the sum of each shard."""
+    rng = random.Random(5)
+    key = {"long": lambda: rng.randint(-(10**12), 10**12), "string": lambda: "k" * rng.randint(0, 3) + str(rng.random()), "hot": lambda: 7 if rng.random() < 0.4 else rng.randint(0, 10**6), "null": lambda: None if rng.random() < 0.3 else rng.randint(0, 99)}[kind]
+    rows = [(k, key(), rng.choice((1, 10, rng.randint(1, 50), 4000 if rng.random() < 0.01 else 5))) for k in range(4000)]
+    df = spark.createDataFrame(rows, f"i long, k {'string' if kind == 'string' else 'long'}, size long").repartition(5)
+    for parameters in ({}, {"ranges": 30, "range_rows": 500, "splitter_bytes": 200}):
+        out = sharding.shard_by_size(df, "k", "size", 7, **parameters).collect()
+        assert sorted((r["i"], r["k"], r["size"]) for r in out) == rows if kind != "null" else len(out) == 4000
+        check_shards(out, 7, "k" if kind in ("long", "string") else None, 0.25 if parameters else 0.02)
+
+
+def test_sharding_plan(spark):
+    """No literal grows with the ranges: splitters stay in tables."""
+    df = spark.range(50_000).selectExpr("id as k", "id % 50 + 1 as size")
+    sizes = [len(sharding.shard_by_size(df, "k", "size", 8, ranges=n)._jdf.queryExecution().analyzed().toString()) for n in (1000, 4000)]
+    assert sizes[1] < 2 * sizes[0]
+
+
 def brute_pii(text):
     out = []
     for kind, pattern in zip(pii.KINDS, (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE), strict=True):
