@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, packed_rest, unpacked
 
 # Notices by licence.
 TEMPLATES = (
@@ -57,6 +57,7 @@ FULL_CORES = ("edistribution", "ermission")  # each full text has one of these o
 _ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?\)*"
 SPDX = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
 WINDOWS = ((0, 1), (0, 2), (-1, 0), (-1, 1))  # lines about a cue line that are scored as one, where it does not pass alone
+HOT = 1000
 SHARE = 0.5  # a file is a licence file if its licence lines hold at least this share of its words
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -161,7 +162,8 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     origin_dir; ties go to the smaller path), or null (origin `none`). Null and empty texts have no own licence but inherit; null
     paths inherit nothing. Repeated rows each have their result. Columns with these names are replaced. An empty table gives an empty table.
 
-    Texts are read once, in place (verdicts are cut durably); only paths and verdicts are shuffled, once by directory, and directories meet their ancestors.
+    Texts are read once, in place (verdicts are cut durably); only paths and verdicts are shuffled, once by
+    directory (but for directories of very many files, whose verdicts are broadcast), and directories meet their ancestors.
     """
     new = {"own_license", "own_score", "is_license_file", "license", "origin", "origin_dir", text_col.lower()}
     names = [c for c in df.columns if c.lower() not in new]
@@ -172,7 +174,7 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
         held = held | text.contains(core)
     split = F.split(text, "\n")
     lines = F.when(held, _with(split, lambda x: _about(x, threshold)))
-    rows = df.select(*[F.col(f"`{c}`") for c in names], path.alias("_path"), text.alias("_text"), lines.alias("_lines"))
+    rows = df.select(packed_rest(names).alias("_rest"), path.alias("_path"), text.alias("_text"), lines.alias("_lines"))
     found = F.filter("_lines", lambda x: x["best"]["score"] >= threshold)
     covered = F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["first"], x["last"]))))
     best = F.array_max(F.transform("_lines", lambda x: x["best"]))
@@ -195,7 +197,7 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     file_score = F.when(F.col("_whole").isNotNull(), _best(F.col("_whole"), tuple(t for _, t in TEMPLATES))["score"]).otherwise(F.lit(0.0))
     is_file = F.coalesce(text_of.isNotNull() | (notice.isNotNull() & ((file_score >= threshold) | (F.col("_n") >= SHARE * F.size("_whole")))), F.lit(False))
     folder = F.when(F.instr("_path", "/") > 0, F.regexp_extract("_path", "^(.*)/", 1)).when(F.col("_path").isNotNull(), F.lit(""))
-    files = rows.select(*[F.col(f"`{c}`") for c in names], "_path", own.alias("own_license"), own_score.alias("own_score"), is_file.alias("is_license_file"), folder.alias("_dir"))
+    files = rows.select("_rest", "_path", own.alias("own_license"), own_score.alias("own_score"), is_file.alias("is_license_file"), folder.alias("_dir"))
 
     files = durable(files)  # one pass over the texts
 
@@ -207,9 +209,15 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     dirs = files.where("_dir is not null").select("_dir").distinct().select("_dir", F.explode(F.array_distinct(above)).alias("above"))
     nearest = dirs.join(granted, "above").groupBy("_dir").agg(F.max(F.struct(F.length("above").alias("n"), F.col("above"), F.col("given"))).alias("r"))
     nearest = nearest.select("_dir", F.col("r.above").alias("_above"), F.col("r.given").alias("_given"))
-    out = files.join(nearest, "_dir", "left")
+
+    # Directories of more than one row in HOT are fewer than HOT: their verdicts are broadcast, so no directory's files gather in one task.
+    counts = files.where("_dir is not null").groupBy("_dir").agg(F.count(F.lit(1)).alias("_c"))
+    hot = counts.where(F.col("_c") * F.lit(HOT) > F.lit(files.count())).select("_dir").join(nearest, "_dir", "left").withColumn("_hot", F.lit(True))
+    marked = files.join(F.broadcast(durable(hot)), "_dir", "left")
+    cold = marked.where("_hot is null").drop("_above", "_given").join(nearest, "_dir", "left").select(*marked.columns)
+    out = marked.where("_hot").union(cold)
     return out.select(
-        *[F.col(f"`{c}`") for c in names], "own_license", "own_score", "is_license_file", F.coalesce("own_license", "_given").alias("license"),
+        *unpacked("_rest", names), "own_license", "own_score", "is_license_file", F.coalesce("own_license", "_given").alias("license"),
         F.when(F.col("own_license").isNotNull(), "header").when(F.col("_given").isNotNull(), "directory").otherwise("none").alias("origin"),
         F.when(F.col("own_license").isNull(), F.col("_above")).alias("origin_dir"),
     )

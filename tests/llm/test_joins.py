@@ -206,6 +206,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_hot_directory(spark):
+    """A directory of most files, one of few, and columns with the operator's own names."""
+    rows = [(f"hot/sub/f{i}.py", "x") for i in range(3000)] + [("hot/LICENSE", "Released under the MIT License."), ("cold/a.py", "x"), ("cold/LICENSE", "Licensed under CC BY 4.0."), ("none/a.py", "x")]
+    rows += [(f"d{i}/a.py", "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "path string, text string").selectExpr("*", "1 as _dir", "2 as _path", "3 as _rest", "4 as _hot", "5 as _text")
+    out = licenses.scan_licenses(df).collect()
+    assert len(out) == len(rows) and {(r["_dir"], r["_path"], r["_rest"], r["_hot"], r["_text"]) for r in out} == {(1, 2, 3, 4, 5)}
+    by = {r["path"]: r["license"] for r in out}
+    assert all(by[p] == ("MIT" if p[:3] == "hot" else "CC-BY-4.0" if p[:4] == "cold" else None) for p, _ in rows)
+
+
 def test_license_texts_and_tags(spark):
     """SPDX tags, notices over several lines, and full licence texts that a tree inherits."""
     texts = dict(zip(licenses.FULL_TEXTS, licenses.full_texts(), strict=True))
