@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join: MinHash bands propose pairs, Bayesian pruning drops them as hashes are compared, exact sets verify.
 
-Equal texts are one class from the start. Classes whose MinHash agrees on a band meet in a bucket. A bucket of many is split into
-blocks, and each pair of blocks is a tile of bounded size; within a tile pairs are only numbers in arrays. A tile gives, for each
-class, the weight of its links and a spanning forest of them, so neither rows nor edges grow with the square of a group.
+Equal texts are one class from the start. Classes whose MinHash agrees on a band meet in a bucket. Large buckets that hold much the same
+classes, as a group of near copies has in most bands, are merged to one group, so its classes are dealt out once and not once a band. A
+group is split into blocks, and each pair of blocks is a tile of bounded size; within a tile pairs are only numbers in arrays. A tile
+gives, for each class, the weight of its links and a spanning forest of them, so edges don't grow with the square of a group. Counting
+every link of m near copies takes m^2 / 2 comparisons and, for the tiles, m^2 / BLOCK rows.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import _RNG, durable, mix, shingle_sets, span_hashes, text_slices, window_hashes, word_bounds
+from .common import _RNG, durable, mix, packed_rest, shingle_sets, span_hashes, text_slices, unpacked, window_hashes, word_bounds
 from .components import connected_components
 
 WIDTH = 5  # words of a shingle
@@ -24,7 +27,8 @@ HASHES = ROWS * BANDS
 MISS = 6e-6  # the most of that chance for other thresholds
 STEP = 24  # hashes compared at a time
 TOLERANCE = 1e-9  # a pair is dropped when its chance to reach the threshold is less
-BLOCK = 512  # classes of a block; a tile has two blocks at most
+BLOCK = 512  # classes of a block; a tile has two blocks at most, and a bucket of more classes is large
+PAIRS = 1 << 17  # pairs compared at a time
 MARK_BITS = 1 << 22  # size of the filter that says which texts are read again
 _MULTIPLY = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
@@ -91,17 +95,15 @@ def band_keys(sig: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarr
 
 
 def _band_rows(batches, rows: int, bands: int):
-    """(node, bands) of each text with a word: its key's first 64 bits, and its band keys. Columns in: key, text."""
+    """(id, key, node, bands) of each text with a word: node is its key's first 64 bits. Columns in: id, key, text."""
     for batch in batches:
-        keys, out_n, out_b = batch.column(0).to_pylist(), [], []
-        for lo, _, buf, offsets in text_slices(batch.column(1)):
+        keys = batch.column(1).to_pylist()
+        for lo, _, buf, offsets in text_slices(batch.column(2)):
             sig, good = signatures(buf, offsets)
             at = np.flatnonzero(good)
-            out_n.append(_nodes([keys[lo + d] for d in at]))
-            out_b.append(band_keys(sig[at], rows, bands).reshape(-1))
-        n = pa.array(np.concatenate(out_n) if out_n else np.zeros(0, np.int64))
-        b = pa.array(np.concatenate(out_b) if out_b else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([n, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), b)], names=["node", "bands"])
+            n, take = len(at), pa.array(at + lo)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(band_keys(sig[at], rows, bands).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(_nodes([keys[lo + d] for d in at])), lists], names=["id", "key", "node", "bands"])
 
 
 def _nodes(keys: list[bytes]) -> np.ndarray:
@@ -145,18 +147,49 @@ def _pairs(lo: int, hi: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo + i, lo + j
 
 
+def _lists(column) -> np.ndarray:
+    """Lists of numbers as a matrix; short ones end with their first number again, empty and null ones are all -1."""
+    rows = [x or [-1] for x in column.to_pylist()]
+    width = max(map(len, rows))
+    return np.array([x + x[:1] * (width - len(x)) for x in rows], np.int64)
+
+
 def _prune(batches, bars: list[int], rows_out: list[str], shape: tuple[int, int]):
-    """For each class of a tile, the places in the tile of the classes that it may reach the threshold with, each pair once."""
+    """For each class of a tile, the places in the tile of the classes that it may reach the threshold with, each pair once.
+
+    A pair that shares groups belongs to the least of these, another pair to the first band that it shares.
+    """
     for t in _Tiles()(batches):
         tile, side = t.column("tile").to_numpy(), t.column("side").to_numpy()
-        band = t.column("band").to_numpy()
+        band, group = t.column("band").to_numpy(), t.column("group").to_numpy()
+        groups = _lists(t.column("groups"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
         keys = band_keys(sig, *shape)
         bounds = _bounds(tile)
-        found_i, found_j, start = [], [], 0
+        found_i, found_j = [], []
+
+        def own(i, j):
+            """Which pairs belong to their tile."""
+            out = np.ones(len(i), dtype=bool)
+            grouped = np.flatnonzero((groups[i, 0] != -1) & (groups[j, 0] != -1))
+            if len(grouped):
+                a, b = groups[i[grouped]], groups[j[grouped]]
+                least = np.full(len(grouped), np.iinfo(np.int64).max)
+                for x in range(a.shape[1]):
+                    for y in range(b.shape[1]):
+                        least = np.where((a[:, x] == b[:, y]) & (a[:, x] < least), a[:, x], least)
+                within = band[i[grouped]] < 0
+                out[grouped] = np.where(within, least == group[i[grouped]], least == np.iinfo(np.int64).max)
+            return out
 
         def compare(i, j):
-            for k in range(0, int(band[i].max()) if len(i) else 0):  # a pair belongs to the first band that it shares
+            for lo in range(0, len(i), PAIRS):
+                few(i[lo : lo + PAIRS], j[lo : lo + PAIRS])
+
+        def few(i, j):
+            mine = own(i, j)
+            i, j = i[mine], j[mine]
+            for k in range(0, int(band[i].max()) if len(i) else 0):
                 new = (keys[i, k] != keys[j, k]) | (band[i] <= k)
                 i, j = i[new], j[new]
             same = np.zeros(len(i), np.int32)
@@ -174,12 +207,12 @@ def _prune(batches, bars: list[int], rows_out: list[str], shape: tuple[int, int]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             pending.append(_pairs(int(lo), int(hi), side))
             ready += len(pending[-1][0])
-            if ready >= 100_000:
+            if ready >= PAIRS:
                 compare(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]))
                 ready, pending = 0, []
         if pending:
             compare(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]))
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
         if not len(i):
             continue
         first = np.repeat(bounds[:-1], np.diff(bounds))
@@ -266,12 +299,13 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """
     spark, shape = df.sparkSession, bands_for(threshold)
     names = [c for c in df.columns if c.lower() not in ("class_id", "n_links", "kept", "repeated")]
-    ids, texts = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    ids, texts = (F.col("`" + c.replace("`", "``") + "`") for c in (id_col, text_col))
     text_key = F.when(texts.rlike("[^\\x20\\x09-\\x0D]"), F.unhex(F.md5(texts.cast("binary"))))  # null: no word
     docs = df.select(ids.alias("id"), text_key.alias("key"), texts.alias("text")).where("key is not null")
 
     # Buckets: band keys that different texts share.
-    bands = durable(docs.select("key", "text").mapInArrow(lambda b: _band_rows(b, *shape), "node bigint, bands array<bigint>"))
+    schema = StructType([StructField("id", df.schema[id_col].dataType), *_parse_datatype_string("key binary, node bigint, bands array<bigint>").fields])
+    bands = durable(docs.mapInArrow(lambda b: _band_rows(b, *shape), schema))
     spread = bands.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = durable(spread.join(shared, "bucket").distinct())
@@ -287,19 +321,25 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     again = docs.select("key", mark(node).alias("mark"), "text").mapInArrow(lambda b: _sets(b, marks), "node bigint, key binary, sig binary, shingles binary")
     texts_of = durable(again.dropDuplicates(["key"]))
 
-    # Tiles: a bucket's members in blocks, two blocks to a tile.
-    size = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocked = members.join(size, "bucket").withColumn("x", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-    tiled = blocked.select("node", "band", "bucket", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    tile = F.xxhash64("bucket", F.least("x", "y"), F.greatest("x", "y"))
+    # Tiles: a small bucket is one; a group's members come in blocks, two blocks to a tile.
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    large = durable(members.join(size.where(F.col("n") > BLOCK), "bucket"))
+    of_group, groups = _merged(large)
+    small = members.join(size.where(F.col("n") <= BLOCK).select("bucket"), "bucket").select("node", "band", F.lit(0).cast("bigint").alias("group"), F.col("bucket").alias("tile"), F.lit(0).alias("side"))
+    blocks = of_group.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocked = of_group.join(blocks, "group").withColumn("x", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = blocked.select("node", "group", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    tile = F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y"))
     side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
-    tiled = tiled.select("node", "band", tile.alias("tile"), side.alias("side"))
-    ready = tiled.join(texts_of.select("node", "key", "sig"), "node").select("tile", "side", "band", "key", "sig").repartition("tile").sortWithinPartitions("tile")
+    tiled = small.union(dealt.select("node", F.lit(-1).alias("band"), "group", tile.alias("tile"), side.alias("side")))
+    held = texts_of.select("node", "key", "sig").join(groups, "node", "left")
+    ready = tiled.join(held, "node").select("tile", "side", "band", "group", "groups", "key", "sig").repartition("tile").sortWithinPartitions("tile")
     bars = least_matches(threshold)
     columns = ["tile", "place", "key", "partners"]
     near = durable(ready.mapInArrow(lambda b: _prune(b, bars, columns, shape), "tile bigint, place int, key binary, partners array<int>"))
 
     # Exact sets decide.
+    docs = bands.select("id", "key")
     classes = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     same = docs.groupBy("key", "id").agg(F.count(F.lit(1)).alias("same")).where("same > 1")
     near_keys = near.select("key").distinct()
@@ -315,15 +355,28 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     heads = info.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("key"))).alias("head"))
     info = info.join(heads, "component").select(F.col("key").alias("_key"), F.col("links").alias("_links"), F.col("head.least").alias("_least"), (F.col("head.key") == F.col("key")).alias("_head"))
     info = info.join(same.select(F.col("key").alias("_key"), F.col("id").alias("_least"), F.lit(True).alias("_same")), ["_key", "_least"], "left")
-    plain = [F.col(f"`{c}`") for c in names]
-    out = df.select(*plain, ids.alias("_id"), text_key.alias("_key")).join(info, "_key", "left")
+    out = df.select(packed_rest(names).alias("_rest"), ids.alias("_id"), text_key.alias("_key")).join(info, "_key", "left")
     kept = F.col("_links").isNull() | (F.col("_head") & F.col("_id").eqNullSafe(F.col("_least")))
     return out.select(
-        *plain, F.when(F.col("_links").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
+        *unpacked("_rest", names), F.when(F.col("_links").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         kept.alias("kept"), (kept & F.coalesce("_same", F.lit(False))).alias("repeated"),
     )
 
 
+def _merged(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((group, node) of the members of large buckets; each such node's groups in a list) of (bucket, node, band).
+
+    A node's first large bucket is that of its least band. A bucket of which half the members or more have the same first one goes into
+    that one's group, another is a group. So two nodes that share a large bucket share a group.
+    """
+    first = large.groupBy("node").agg(F.min(F.struct("band", "bucket")).alias("f")).select("node", F.col("f.bucket").alias("first"))
+    met = large.join(first, "node").groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("c"))
+    into = met.groupBy("bucket").agg(F.max(F.struct("c", "first")).alias("m"), F.sum("c").alias("n"))
+    into = into.select("bucket", F.when(F.col("m.c") * 2 >= F.col("n"), F.col("m.first")).otherwise(F.col("bucket")).alias("group"))
+    of_group = durable(large.join(into, "bucket").select("group", "node").distinct())
+    return of_group, of_group.groupBy("node").agg(F.sort_array(F.collect_list("group")).alias("groups"))  # at most one for each band
+
+
 def one_of_each(joined: DataFrame) -> DataFrame:
     """The rows of ngram_join to keep, one for each group; of rows equal in id and text, any one."""
     again = joined.where("kept and repeated")

@@ -77,6 +77,33 @@ def test_ngram_join_blocks(spark):
     assert {(r["class_id"], r["n_links"]) for r in out} == {(0, 1199)}
 
 
+def test_ngram_join_groups(spark):
+    """Large groups whose buckets differ from band to band, two of them alike: every pair is counted once, and classes are dealt out about once a group."""
+    rng, rows = random.Random(12), []
+    base = [f"w{i}" for i in range(160)]
+    other = base[:120] + [f"v{i}" for i in range(40)]
+    for k in range(1500):
+        words = list(base if k % 2 else other)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(160)] = f"n{rng.randint(0, 5)}"
+        rows.append((k, " ".join(words), 1, 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int, _rest int")
+    out = {r["doc_id"]: r for r in ngram_join.ngram_join(df).collect()}
+    links = brute_jaccard([r[1] for r in rows])
+    root, count = groups(len(rows), links), np.bincount(np.array(links).reshape(-1), minlength=len(rows))
+    for i in range(len(rows)):
+        assert (out[i]["class_id"], out[i]["n_links"], out[i]["_key"], out[i]["_rest"]) == (root[i], count[i], 1, 2)
+
+
+def test_ngram_join_merges(spark):
+    """Buckets of one group of near copies go into one or few groups, whatever the number of bands."""
+    rng = random.Random(1)
+    for n in (1000, 2000, 4000):
+        rows = [(b, node, k) for k in range(40) for node in range(n) for b in ([k * 10**6] if rng.random() < 0.75 else [])]
+        of_group, lists = ngram_join._merged(spark.createDataFrame(rows, "bucket long, node long, band int"))
+        assert of_group.count() <= 3 * n and lists.count() == n
+
+
 def test_pruning_bars():
     bars = ngram_join.least_matches()
     assert bars == sorted(bars) and bars[-1] < 0.8 * ngram_join.HASHES
