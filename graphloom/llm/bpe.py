@@ -136,28 +136,56 @@ class Encoder:
         self.chunk_bytes += 3 * len(text) + 200
         return entry
 
+    def _cuts(self, text: str) -> tuple[list[str], list[bytes]]:
+        """A chunk cut at all its safe places, and the ids that each cut has in it."""
+        parts = text.split(" ")
+        at = [0, *[i for i in range(1, len(parts)) if parts[i - 1] and not parts[i - 1][-1].isspace()], len(parts)]
+        spans = list(zip(at[:-1], at[1:], strict=True))
+        return [(" " if i else "") + " ".join(parts[i:j]) for i, j in spans], [self._parts(parts[i:j], i > 0, False) for i, j in spans]
+
     def joined(self, chunks: list[str]) -> bytes:
         """Ids of the text that the chunks make up: each chunk's own ids, and across each join the ids of re-encoded text.
 
-        The re-encoded text runs from one segment before the join to one after it, and must give both segments the ids that they had
-        in their chunks; where it doesn't, the whole text is encoded anew.
+        The re-encoded bridge runs from one cut before the join to one after it, and must give both cuts the ids that they have in their
+        chunks. Where it doesn't, it is widened by a cut on that side until both agree; if a chunk has no more, the whole text is encoded anew.
         """
         out, pending, left = [], "", b""
-        for chunk in chunks:
-            entry = self._chunk(chunk)
-            if entry is None:
+        last, begin = None, 2  # the chunk that out ends with, and the first of its cuts there
+        for chunk in [*chunks, None]:
+            entry = self._chunk(chunk) if chunk is not None else None
+            if entry is None and chunk is not None:
                 pending += chunk
                 continue
-            head, right, core, own, tail = entry
-            bridge = self.ordinary(pending + head)
+            head, right, core, own, tail = entry or ("", b"", b"", b"", "")
+            bridge, first = self.ordinary(pending + head), 2
             if not (bridge.startswith(left) and bridge.endswith(right)):
-                return self.ordinary("".join(chunks))
+                wide = self._widened(last, begin, pending, chunk)
+                if wide is None:
+                    return self.ordinary("".join(chunks))
+                bridge, a, first = wide
+                if last is not None:
+                    out[-1] = b"".join(self._cuts(last)[1][begin:a])
+                if chunk is not None:
+                    core = b"".join(self._cuts(chunk)[1][first:-2])
             out += [bridge, core]
-            pending, left = tail, own
-        bridge = self.ordinary(pending)
-        if not bridge.startswith(left):
-            return self.ordinary("".join(chunks))
-        return b"".join([*out, bridge])
+            pending, left, last, begin = tail, own, chunk, first
+        return b"".join(out)
+
+    def _widened(self, last: str | None, begin: int, pending: str, chunk: str | None) -> tuple[bytes, int, int] | None:
+        """(ids of a bridge on which both chunks agree, its first cut in the last chunk, the cut after it in this one); None if there is none.
+
+        pending: the text from the last cut but one of the last chunk to this chunk. None for a chunk: the text begins or ends here.
+        """
+        before, after = self._cuts(last) if last is not None else None, self._cuts(chunk) if chunk is not None else None
+        a, b = len(before[0]) - 2 if before else 0, 1
+        while True:
+            bridge = self.ordinary(("".join(before[0][a:-2]) if before else "") + pending + ("".join(after[0][: b + 1]) if after else ""))
+            good = not before or bridge.startswith(before[1][a]), not after or bridge.endswith(after[1][b])
+            if all(good):
+                return bridge, a, b + 1
+            a, b = a - (not good[0]), b + (not good[1])
+            if (before and a < begin) or (after and b >= len(after[0]) - 2):
+                return None
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")

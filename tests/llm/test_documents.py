@@ -148,6 +148,24 @@ def test_bpe_reuses_chunks():
     assert before > 5 and len(enc.chunks) - before <= 2  # cuts follow the content, so all but the first chunk are met again
 
 
+def test_bpe_widens_bridges():
+    """Where a chunk's ids next to a join are not those of the whole, the bridge grows until both sides agree."""
+    enc = bpe.Encoder(vocabulary())
+    parts = [" ".join(f"alpha{i} beta{i * 7}" for i in range(k, k + 30)) + " " for k in (0, 100, 200)]
+    want, right = enc.ordinary("".join(parts)), enc._cuts
+    assert enc.joined(parts) == want
+    head, first, core, last, tail = enc._chunk(parts[1])
+    ids = right(parts[1])[1]
+    assert b"".join([*ids[:2], core, *ids[-2:]]) == enc.ordinary(parts[1]) and (first, last) == (ids[1], ids[-2])
+    for wrong in (1, 2, 3, 5, 40):  # so many wrong cuts at either end of a chunk
+        bad = lambda text, n=wrong: (right(text)[0], [b"\0\0\0\0" if text == parts[1] and not n < k < len(x) - n - 1 else y for x in [right(text)[1]] for k, y in enumerate(x)])
+        enc._cuts = bad
+        enc.chunks[parts[1]] = head, b"\0\0\0\0", b"wrong", b"\0\0\0\0", tail
+        widths = []
+        enc._widened = lambda *a, f=bpe.Encoder._widened: widths.append(f(enc, *a)) or widths[-1]
+        assert enc.joined(parts) == want and (wrong == 40) == (None in widths) and len(widths) == (1 if wrong == 40 else 2)
+
+
 def check_packing(rows, capacity=2048):
     seqs = defaultdict(list)
     for r in rows:
