@@ -20,7 +20,7 @@ from .components import connected_components
 
 PARAMETERS = {
     "threshold": 0.95,
-    "shards": 2,  # at least
+    "shards": 4,  # at least
     "shard_rows": 65_536,  # vectors in a shard, about, at most: what a task holds
     "part_rows": 65_536,  # vectors that query a shard in one task, about, at most; they come in slices
     "slice": 8_192,  # vectors that a task looks up at once
@@ -28,8 +28,10 @@ PARAMETERS = {
     "margin": 0.03,  # a search goes on through nodes that miss the threshold by no more
     "spare": 8,  # more links, to nodes that few link to
     "build_beam": 40,
-    "beam": 8,  # to begin with; doubled until the audit passes
+    "beam": 32,  # to begin with; doubled until the audit passes
     "audit": 1024,  # audit queries for each shard, a bounded sample: vectors turned to just over the threshold
+    "entries": 16,  # to a layer, from the one above
+    "whole_layer": 4096,  # an upper layer of no more nodes is compared with as a whole
     "layer": 16,  # a layer has one in so many nodes of the one below
 }
 BLOCK = 256
@@ -134,12 +136,15 @@ class Graph:
         return out[out >= 0]
 
     def _entry(self, q: np.ndarray, level: int) -> np.ndarray:
-        """Entries to a layer: the nearest few nodes of the layer above."""
+        """Entries to a layer: the nearest nodes of the layer above, which is searched with a beam as wide as itself where it is small."""
         entry = np.zeros((len(q), 1), np.int64)
         for above in range(len(self.sizes) - 1, level, -1):
-            entry = beam_search(self.x[: self.sizes[above]], self.layers[above], q, entry, 8)[0][:, :4]
-            entry = np.where(entry >= 0, entry, entry[:, :1])
-            entry = np.where((entry == entry[:, :1]) & (np.arange(entry.shape[1]) > 0), -1, entry)
+            n, most = self.sizes[above], self.p["entries"]
+            if n <= self.p["whole_layer"]:
+                sims = q @ self.x[:n].T
+                entry = np.argpartition(-sims, most - 1, axis=1)[:, :most] if n > most else np.tile(np.arange(n), (len(q), 1))
+            else:
+                entry = beam_search(self.x[:n], self.layers[above], q, entry, 4 * most)[0][:, :most]
         return entry
 
     def _build(self, level: int) -> np.ndarray:
@@ -156,8 +161,7 @@ class Graph:
             ids = np.where(sims > -np.inf, ids + lo, -1)
             if lo:
                 entry = self._entry(q, level)
-                entry = np.where(entry < lo, entry, -1)
-                entry[:, 0] = np.where(entry[:, 0] < 0, 0, entry[:, 0])
+                entry = np.concatenate([np.zeros((hi - lo, 1), np.int64), np.where((entry < lo) & (entry > 0), entry, -1)], axis=1)
                 far, far_sims = beam_search(x[:lo], links[:lo], q, entry, self.p["build_beam"])
                 ids, sims = np.concatenate([ids, far], axis=1), np.concatenate([sims, far_sims], axis=1)
                 order = np.argsort(-sims, axis=1, kind="stable")[:, : self.p["build_beam"]]
