@@ -12,10 +12,14 @@ PYTHON_CODE = ("python.module", "python.class", "python.function", "python.metho
 DOC_KINDS = ("doc.page", "doc.section", "doc.adr", "doc.skill")
 MESSAGE_KINDS = ("email.mailbox", "email.message", "email.part", "email.attachment_stub", "email.thread_hint", "email.address", "feed.document", "feed.channel", "feed.item", "feed.author", "feed.category")
 TEST_KINDS = (
-    "js.test_suite", "js.test_case", "ruby.test_case", "ruby.test_method", "bats.file", "bats.test_case", "bats.expectation", "zunit.file", "zunit.suite", "zunit.test_case",
-    "zunit.assertion", "zunit.expectation", "zunit.hook", "zunit.mock", "zunit.stub", "zunit.command_under_test", "nix.check",
+    "bats.file", "bats.test_case", "bats.expectation", "zunit.file", "zunit.suite", "zunit.test_case", "zunit.hook", "zunit.assertion", "zunit.expectation", "zunit.command_under_test",
+    "zunit.mock", "zunit.stub", "js.test_suite", "js.test_case", "ruby.test_case", "ruby.test_method", "nix.check",
 )
-CODE_PREFIXES = ("python.", "go.", "js.", "ruby.", "rust.", "shell.", "bash.", "zsh.", "awk.", "powershell.", "nix.", "terraform.", "openapi.")
+CODE_KINDS = (
+    "python.module", "python.class", "python.function", "python.method", "js.file", "js.module", "js.function", "js.class", "js.method", "js.component", "js.route",
+    "ruby.file", "ruby.module", "ruby.class", "ruby.method", "ruby.singleton_method", "ruby.constant", "ruby.route", "nix.app", "nix.package", "nix.devShell",
+)
+CODE_FAMILIES = ("go.", "bash.", "zsh.", "awk.", "powershell.", "config.", "css.", "html.", "xml.")
 INTENTS = ("definition", "implementation", "tests", "docs", "messages", "general")
 MATCH_CLASSES = ("display_exact", "display_casefold_exact", "key_terminal_exact", "display_prefix", "display_substring", "key_substring", "kind_only")
 
@@ -39,7 +43,10 @@ def match_class(query: str | None, key: Column, display: Column) -> Column:
 
 
 def _code(kind: Column) -> Column:
-    return kind.rlike("^(?:" + "|".join(p.replace(".", "\\.") for p in CODE_PREFIXES) + ")") & ~kind.isin(*TEST_KINDS)
+    families = F.lit(False)
+    for family in CODE_FAMILIES:
+        families = families | kind.startswith(family)
+    return kind.isin(*CODE_KINDS) | families
 
 
 def subject_family(kind: Column, key: Column, display: Column, path: Column) -> Column:
@@ -67,19 +74,24 @@ def evidence_tier(withheld: Column, verified: Column, direct: Column) -> Column:
     return F.when(withheld, 3).when(verified, 0).when(direct, 1).otherwise(2)
 
 
+# Which evidence speaks of its subject directly: (link kinds, subject kinds, raw kinds, or None for the subject's own kind).
+DIRECT_EVIDENCE = (
+    (("observed",), PYTHON_CODE, None),
+    (("observed",), ("doc.page",), ("markdown.document",)),
+    (("observed",), ("doc.section",), ("markdown.heading",)),
+    (("observed",), ("doc.adr",), ("markdown.adr_metadata",)),
+    (("observed",), ("doc.skill",), ("markdown.skill_metadata",)),
+    (("observed",), MESSAGE_KINDS, None),
+    (("observed",), ("js.test_suite", "js.test_case", "ruby.test_case", "ruby.test_method", "bats.file", "zunit.file", "zunit.command_under_test", "nix.check"), None),
+    (("observed", "inferred_from_edge"), ("bats.test_case", "zunit.suite", "zunit.test_case", "zunit.assertion", "zunit.expectation", "zunit.mock", "zunit.stub", "zunit.command_under_test", "nix.check"), None),
+    (("observed", "inferred_from_edge"), ("bats.expectation",), ("bats.assertion", "bats.refutation")),
+    (("observed", "inferred_from_edge"), ("zunit.hook",), ("zunit.setup", "zunit.teardown", "zunit.before_each", "zunit.after_each", "zunit.hook")),
+)
+
+
 def evidence_role(link_kind: Column, subject_kind: Column, raw_kind: Column) -> Column:
     """direct, reference or unknown: what a piece of evidence says of its subject."""
-    seen, either = link_kind == "observed", link_kind.isin("observed", "inferred_from_edge")
-    same = raw_kind == subject_kind
-    rules = [
-        seen & subject_kind.isin(*PYTHON_CODE) & same, seen & (subject_kind == "doc.page") & (raw_kind == "markdown.document"), seen & (subject_kind == "doc.section") & (raw_kind == "markdown.heading"),
-        seen & (subject_kind == "doc.adr") & (raw_kind == "markdown.adr_metadata"), seen & (subject_kind == "doc.skill") & (raw_kind == "markdown.skill_metadata"), seen & subject_kind.isin(*MESSAGE_KINDS) & same,
-        seen & subject_kind.isin("js.test_suite", "js.test_case", "ruby.test_case", "ruby.test_method", "bats.file", "zunit.file", "zunit.command_under_test", "nix.check") & same,
-        either & subject_kind.isin("bats.test_case", "zunit.suite", "zunit.test_case", "zunit.assertion", "zunit.expectation", "zunit.mock", "zunit.stub", "zunit.command_under_test", "nix.check") & same,
-        either & (subject_kind == "bats.expectation") & raw_kind.isin("bats.assertion", "bats.refutation"),
-        either & (subject_kind == "zunit.hook") & raw_kind.isin("zunit.setup", "zunit.teardown", "zunit.before_each", "zunit.after_each", "zunit.hook"),
-    ]
-    direct = rules[0]
-    for r in rules[1:]:
-        direct = direct | r
+    direct = F.lit(False)
+    for links, subjects, raws in DIRECT_EVIDENCE:
+        direct = direct | (link_kind.isin(*links) & subject_kind.isin(*subjects) & (raw_kind == subject_kind if raws is None else raw_kind.isin(*raws)))
     return F.when(direct, "direct").when(link_kind == "inferred_from_edge", "reference").otherwise("unknown")

@@ -54,16 +54,18 @@ def markdown_anchor(heading: Column) -> Column:
 def occurrences(docs: DataFrame, needle: str, text_col: str = "text") -> DataFrame:
     """One row per occurrence of needle, overlapping ones too: pos (from 1, characters), start_line and end_line (from 1).
 
-    Lines are counted by line feeds before the occurrence and, for its end, within it but for one that ends it.
+    Lines are counted by line feeds before the occurrence and, for its end, within it but for one that ends it. Each of several equal
+    rows has its own occurrences.
     """
     if needle == "":
         raise ValueError("an empty needle")
     quoted = "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    found = docs.where(F.contains(text_col, F.lit(needle))).select("*", F.startswith(text_col, F.lit(needle)).alias("_head"), F.posexplode(F.split(F.col(text_col), f"(?={quoted})")).alias("_i", "_piece"))
+    held = docs.where(F.contains(text_col, F.lit(needle))).withColumn("_row", F.monotonically_increasing_id())  # before rows are split
+    found = held.select("*", F.startswith(text_col, F.lit(needle)).alias("_head"), F.posexplode(F.split(F.col(text_col), f"(?={quoted})")).alias("_i", "_piece"))
     from pyspark.sql import Window
 
     keys = [c for c in docs.columns if c != text_col]
-    before = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     feeds = F.length("_piece") - F.length(F.replace("_piece", F.lit("\n"), F.lit("")))
     found = found.withColumn("_pos", F.coalesce(F.sum(F.length("_piece")).over(before), F.lit(0))).withColumn("_line", F.coalesce(F.sum(feeds).over(before), F.lit(0)))
     inner = needle[:-1].count("\n") if needle.endswith("\n") else needle.count("\n")

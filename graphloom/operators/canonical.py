@@ -74,10 +74,12 @@ def canonicalize(observations: DataFrame, rules: dict[str, tuple[str, str, str]]
 
     A definition gives a node for the file (inferred) and one for the name (observed), and an edge between; a reference gives both
     nodes inferred, and an edge; a file gives its node. Unknown kinds give a warning and nothing else. Nodes keep the first metadata
-    and the strongest confidence; edges fold metadata in order of ordinals.
+    and the strongest confidence; edges fold metadata in order of ordinals. Claims that no witness bears out are refused with a warning.
     """
     spark = observations.sparkSession
     good, bad = validated(observations)
+    good, refused = refused_claims(good)
+    bad = bad.union(refused)
     good = good.withColumn("metadata", canonical_json_text(F.col("metadata")))
     routed = good.join(F.broadcast(rule_table(spark, rules)), "kind", "left")  # as many rows as kinds
     unknown = routed.where("shape is null").select(F.lit("warning").alias("severity"), F.lit("unsupported_observation").alias("code"), "ordinal", "kind", F.col("path").alias("detail"))
@@ -160,18 +162,33 @@ def normalized_graph(observations: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return nodes, edges, o.select("stable_key", "path", "start_line", "end_line", "ordinal")
 
 
-#: Metadata that only a capability may set; an observation that claims it is refused.
-RESERVED = ("capability", "verified_by", "witness")
+# Metadata names that only a witnessed capability may set, and kinds and names that claim a language.
+CLAIM_KEYS = (
+    "capability_vocabulary", "declared_capabilities", "admitted_capabilities", "exercised_capabilities", "achieved_capabilities", "effect_vector", "parent_witness", "capability_witness",
+)
+RECEIPT_PREFIX = "extractor_receipt"
+RUST_KINDS = ("rust.parse", "rust.item", "rust.unsupported")
+LANGUAGE_KEYS = ("language", "dialect", "language_dialect")
+CONTENT_LANGUAGE_KINDS = ("markdown.code_fence", "html.document")
+
+
+def claim_reason(kind: Column, metadata: Column) -> Column:
+    """Why an observation is refused, or null: a reserved name in its metadata, a raw kind of Rust, or Rust as its language."""
+    names = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
+    rust = F.lit(False)
+    for name in LANGUAGE_KEYS:
+        rust = rust | F.coalesce(F.lower(F.trim(F.get_json_object(metadata, f"$.{name}"))).rlike("^rust(?:$|[/.-])"), F.lit(False))
+    return (
+        F.when(F.exists(names, lambda n: n.startswith(RECEIPT_PREFIX)), "receipt_reference_metadata").when(F.arrays_overlap(names, F.array(*[F.lit(n) for n in CLAIM_KEYS])), "capability_claim_metadata")
+        .when(kind.isin(*RUST_KINDS), "rust_raw_kind").when(~kind.isin(*CONTENT_LANGUAGE_KINDS) & rust, "rust_language_claim")
+    )
 
 
-def refused_claims(observations: DataFrame, trusted: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(observations without reserved claims, warnings for the others); extractors in `trusted` may make them."""
-    claim = F.lit(False)
-    for name in RESERVED:
-        claim = claim | F.get_json_object("metadata", f"$.{name}").isNotNull()
-    claim = F.coalesce(claim, F.lit(False)) & ~F.col("extractor").isin(*trusted) if trusted else F.coalesce(claim, F.lit(False))
-    bad = observations.where(claim).select(F.lit("warning").alias("severity"), F.lit("refused_claim").alias("code"), "ordinal", "kind", F.col("path").alias("detail"))
-    return observations.where(~claim), bad
+def refused_claims(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations without claims that no witness bears out, warnings for the others, with the reason)."""
+    marked = observations.withColumn("_reason", claim_reason(F.col("kind"), F.col("metadata")))
+    bad = marked.where("_reason is not null").select(F.lit("warning").alias("severity"), F.lit("extractor_capability_claim_refused").alias("code"), "ordinal", "kind", F.concat_ws(":", "_reason", "path").alias("detail"))
+    return marked.where("_reason is null").drop("_reason"), bad
 
 
 def unknown_provenance(observations: DataFrame, captured: DataFrame) -> DataFrame:

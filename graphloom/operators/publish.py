@@ -18,10 +18,14 @@ class IntegrityError(ValueError):
 def publish(folder: str, run_id: int, graph: Graph, observations: DataFrame, files: DataFrame | None = None, graph_id: str = "graph") -> dict[str, object]:
     """Write a run's families as Parquet, guard them, then append the run's row: readers see it only after that.
 
-    A run that fails its guards leaves a failed run and its tables for diagnosis; the accepted run stays what it was.
+    A run that fails its guards leaves a failed run and its tables for diagnosis; the accepted run stays what it was. A run that is
+    published already is refused: its tables never change. The graph should come from stored observations (staged), or each family
+    extracts them anew.
     """
     spark = observations.sparkSession
     base = f"{folder.rstrip('/')}/run={run_id}"
+    if published(spark, folder, run_id, graph_id):
+        raise IntegrityError(f"run {run_id} of {graph_id} is published already")
     tables = {"observations": observations, "nodes": graph.nodes, "edges": graph.edges, "evidence": graph.evidence, "node_links": graph.node_links, "edge_links": graph.edge_links, "diagnostics": graph.diagnostics}
     if files is not None:
         tables["files"] = files.drop("content")
@@ -40,6 +44,31 @@ def publish(folder: str, run_id: int, graph: Graph, observations: DataFrame, fil
     return {"run_id": run_id, "status": status, "digest": digest, "counts": counts}
 
 
+def _known_runs(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{folder.rstrip('/')}/runs")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def published(spark: SparkSession, folder: str, run_id: int, graph_id: str = "graph") -> bool:
+    """Whether the run is complete."""
+    runs = _known_runs(spark, folder)
+    return runs is not None and runs.where((F.col("graph_id") == graph_id) & (F.col("run_id") == run_id) & (F.col("status") == "complete")).limit(1).count() > 0
+
+
+def staged(folder: str, run_id: int, name: str, df: DataFrame, graph_id: str = "graph") -> DataFrame:
+    """df written under the folder of staged tables and read again, so that what follows doesn't make it anew. A published run is refused first."""
+    spark = df.sparkSession
+    if published(spark, folder, run_id, graph_id):
+        raise IntegrityError(f"run {run_id} of {graph_id} is published already")
+    path = f"{folder.rstrip('/')}/staged/run={run_id}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def accepted(spark: SparkSession, folder: str, graph_id: str = "graph") -> int | None:
     """The newest complete run."""
     return spark.read.parquet(f"{folder.rstrip('/')}/runs").where((F.col("graph_id") == graph_id) & (F.col("status") == "complete")).agg(F.max("run_id")).first()[0]

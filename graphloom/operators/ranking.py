@@ -14,16 +14,19 @@ def rank_candidates(candidates: DataFrame, query: str, intent: str | None, desti
     """Candidates with their tiers and rank, best first: by the five tiers, then key bytes, then destination.
 
     Candidates have canonical_key, kind, display_name, subject_family, has_direct_evidence, has_verified_direct_location,
-    identity_withheld, is_current_publication and, if there is one, a destination column. The rank numbers a result that is ordered as
-    a whole: it belongs to a page of candidates, not to a corpus.
+    identity_withheld, is_current_publication and, if there is one, a destination column. Candidates are numbered within
+    their tiers, and tiers by their counts.
     """
     c = candidates.withColumn("match_class_tier", rank.match_class(query, F.col("canonical_key"), F.col("display_name")))
     c = c.withColumn("exactness_tier", F.when(F.col("match_class_tier") <= 2, 0).otherwise(1)).withColumn("affinity_tier", rank.affinity_tier(intent, F.col("kind"), F.col("subject_family")))
     c = c.withColumn("evidence_tier", rank.evidence_tier(F.col("identity_withheld"), F.col("has_verified_direct_location"), F.col("has_direct_evidence")))
     c = c.withColumn("publication_tier", F.when(F.col("is_current_publication"), 0).otherwise(1))
     c = c.withColumn("match_class", F.get(F.array(*[F.lit(x) for x in rank.MATCH_CLASSES]), F.col("match_class_tier")))
-    order = [*TIERS, "canonical_key", *([destination] if destination in candidates.columns else [])]
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    order = ["canonical_key", *([destination] if destination in candidates.columns else [])]
+    ahead = c.groupBy(*TIERS).agg(F.count(F.lit(1)).alias("_n"))  # a row for each combination of tiers: some two hundred at most
+    ahead = ahead.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy(*TIERS).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = c.withColumn("_place", F.row_number().over(Window.partitionBy(*TIERS).orderBy(*order))).join(F.broadcast(ahead), TIERS)
+    return ranked.select(*c.columns, (F.col("_ahead") + F.col("_place")).cast("int").alias("rank"))
 
 
 def ambiguity(ranked: DataFrame) -> DataFrame:

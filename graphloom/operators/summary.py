@@ -85,9 +85,9 @@ def python_summary(o: DataFrame) -> DataFrame:
     package = lambda name: (k == "python.package_file") & (meta("file_family") == name)
     return counts(o, {
         "python_observations": k.startswith("python."), "modules": k == "python.module", "classes": k == "python.class", "functions": k == "python.function", "methods": k == "python.method", "imports": k == "python.import",
-        "package_files": k == "python.package_file", "pyproject": package("pyproject"), "requirements": (k == "python.package_file") & F.startswith(meta("file_family"), F.lit("requirements")), "requirement_entries": k == "python.requirement",
+        "package_files": k == "python.package_file", "pyproject": package("pyproject"), "requirements": (k == "python.package_file") & F.startswith(meta("file_family"), F.lit("requirements")), "requirement_entries": (k == "python.requirement") & (meta("source_format") == "python-requirements"),
         "requirements_pinned": (k == "python.requirement") & meta("version_constraint").isNotNull(), "flask_routes": k == "python.flask_route", "fastapi_routes": k == "python.fastapi_route", "django_urls": k == "python.django_urlpattern",
-        "django_models": k == "python.django_model", "django_views": k == "python.django_view", "test_cases": k.isin("python.test_function", "python.test_class"), "redactions": k.startswith("python.") & meta("redaction_reason").isNotNull(), "parse_errors": k == "python.parse_error",
+        "django_models": k == "python.django_model", "django_views": k == "python.django_view", "test_cases": k.isin("python.test_function", "python.test_class"), "redactions": k == "python.redaction", "parse_errors": k == "python.parse_error",
     })
 
 

@@ -144,18 +144,10 @@ def last_proposal_wins(spark, d):
     return merge.last_wins(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT c_custkey AS k, upper(c_name) AS v FROM customer WHERE c_custkey % 2 = 0)
-SELECT coalesce(p.k, c.k) AS k, CASE WHEN p.k IS NOT NULL THEN p.v ELSE c.v END AS v, CASE WHEN c.k IS NOT NULL THEN 1 ELSE 2 END AS first_seen_run_id, CASE WHEN p.k IS NOT NULL THEN 2 ELSE 1 END AS last_seen_run_id FROM c FULL JOIN p ON c.k = p.k""")
-def upsert(spark, d):
-    c = read(spark, d, "customer")
-    current = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.lit(1).alias("first_seen_run_id"), F.lit(1).alias("last_seen_run_id"))
-    return merge.upsert(current, c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("v")), ["k"], 2)
-
-
 @query("""WITH p AS (SELECT c_custkey AS k, upper(c_name) AS v FROM customer WHERE c_acctbal > 0)
 SELECT c_custkey AS k, CASE WHEN p.k IS NOT NULL THEN p.v ELSE c_mktsegment END AS v, 1 AS first_seen_run_id, CASE WHEN p.k IS NOT NULL THEN 2 ELSE 1 END AS last_seen_run_id FROM customer LEFT JOIN p ON c_custkey = p.k
 UNION ALL SELECT -1 - s_suppkey, upper(s_name), 2, 2 FROM supplier""")
-def upsert_whole(spark, d):
+def upsert(spark, d):
     """All customers as current; those with a balance, and all suppliers as new keys, as proposed."""
     c = read(spark, d, "customer")
     current = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.lit(1).alias("first_seen_run_id"), F.lit(1).alias("last_seen_run_id"))
@@ -173,7 +165,7 @@ def identity_conflicts(spark, d):
     return merge.identity_conflicts(read(spark, d, "part"), ["p_name", "p_brand"], F.col("p_type"))
 
 
-@query("""SELECT l_orderkey, array_to_string(list_distinct_ordered, '>') AS flags FROM (SELECT l_orderkey, list(f ORDER BY o) AS list_distinct_ordered FROM (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber * 1000000 + l_partkey) AS o FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey)""")
+@query("""SELECT l_orderkey, array_to_string(list_distinct_ordered, '>') AS flags FROM (SELECT l_orderkey, list(f ORDER BY o, f) AS list_distinct_ordered FROM (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber * 1000000 + l_partkey) AS o FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey)""")
 def first_seen_values(spark, d):
     """File facts: distinct values in the order of their first appearance."""
     facts = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.lit("role").alias("name"), F.col("l_returnflag").alias("value"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"))
@@ -294,14 +286,8 @@ def alias_tokens(spark, d):
     return p.select("p_partkey", F.array_join(text.alias_tokens(F.lit(""), t), " ").alias("aliases"))
 
 
-@query("""SELECT item_id, CASE WHEN a = '' THEN 'section' ELSE a END AS anchor FROM (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(regexp_replace(substr(text, 1, 60) || ' [x](y) *z*', '[`*_\\[\\]()]', '', 'g')), ' '), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS a FROM benchmark)""")
-def markdown_anchors(spark, d):
-    return read(spark, d, "benchmark").select("item_id", text.markdown_anchor(F.concat(F.substring("text", 1, 60), F.lit(" [x](y) *z*"))).alias("anchor"))
-
-
 @query("""SELECT item_id, CASE WHEN a = '' THEN 'section' ELSE a END AS anchor FROM (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(regexp_replace(text || ' [x](y) *z*', '[`*_\\[\\]()]', '', 'g')), ' '), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS a FROM benchmark)""")
-def markdown_anchors_whole(spark, d):
-    """Anchors of whole texts."""
+def markdown_anchors(spark, d):
     return read(spark, d, "benchmark").select("item_id", text.markdown_anchor(F.concat("text", F.lit(" [x](y) *z*"))).alias("anchor"))
 
 

@@ -26,9 +26,9 @@ class GraphSession:
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, folder: str, run_id: int = 1, excludes: tuple[str, ...] = (), profile: dict | None = None, graph_id: str = "graph") -> GraphSession:
-        """Scan a repository, extract, canonicalize and publish it."""
+        """Scan a repository, extract it once, canonicalize what was stored, and publish it."""
         files = discover(spark, root, excludes, profile)
-        observations = extract(files, run_id)
+        observations = publish.staged(folder, run_id, "observations", extract(files, run_id), graph_id)
         publish.publish(folder, run_id, canonical.canonicalize(observations), observations, files, graph_id)
         return cls(spark, folder, graph_id, run_id)
 

@@ -45,12 +45,35 @@ def test_publication_policies():
 
 
 def test_claims_and_provenance(spark):
-    o = spark.createDataFrame([(1, "file", "a", "x", '{"capability":"root"}'), (2, "file", "b", "x", "{}"), (3, "file", "c", "t", '{"witness":1}')], "ordinal bigint, kind string, path string, extractor string, metadata string")
-    good, bad = canonical.refused_claims(o, trusted=("t",))
-    assert [r["path"] for r in good.orderBy("path").collect()] == ["b", "c"] and bad.first()["code"] == "refused_claim"
+    claims = ['{"parent_witness":{}}', "{}", '{"extractor_receipt_x":1}', '{"language":" Rust "}', '{"language":"python"}']
+    o = spark.createDataFrame([(k, "file", p, m) for k, (p, m) in enumerate(zip("abcde", claims, strict=True))], "ordinal bigint, kind string, path string, metadata string")
+    good, bad = canonical.refused_claims(o)
+    assert [r["path"] for r in good.orderBy("path").collect()] == ["b", "e"]
+    assert [r["detail"] for r in bad.orderBy("ordinal").collect()] == ["capability_claim_metadata:a", "receipt_reference_metadata:c", "rust_language_claim:d"]
     assert [r["path"] for r in canonical.unknown_provenance(o, o.where("path <> 'b'")).collect()] == ["b"]
 
 
+def test_occurrences_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "xaax"), (1, "xaax")], "k int, text string")
+    assert [r["pos"] for r in text.occurrences(docs, "aa").collect()] == [2, 2]
+
+
+def test_published_runs_stay(spark, tmp_path):
+    """A run that is complete is neither staged nor published again, and a build extracts once."""
+    from graphloom.operators import publish
+    from graphloom.session import GraphSession
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "a.py").write_text("import os\n\n\ndef f():\n    return os.name\n")
+    session = GraphSession.build(spark, str(root), str(tmp_path / "graphs"))
+    assert session.canonical_nodes(kind="python.function").count() == 1
+    plan = canonical.canonicalize(spark.read.parquet(f"{tmp_path}/graphs/staged/run=1/observations")).nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan  # observations are read, not extracted
+    with pytest.raises(publish.IntegrityError):
+        GraphSession.build(spark, str(root), str(tmp_path / "graphs"))
+
+
 def test_text_helpers():
     assert text.alias_query_text("src/HTTPServer parse_json") == "src httpserver http server parse json"
     assert text.jsonb_text({"bb": 1, "a": [True, None, "é"], "c": {}}) == '{"a": [true, null, "é"], "c": {}, "bb": 1}'

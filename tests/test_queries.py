@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from graphloom.plans.queries import QUERIES, SQL
+from graphloom.plans import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,9 +28,9 @@ def test_query(spark, sf, db, name):
 
 def test_whole_inputs(spark, sf, db):
     """Anchors come of whole texts, and all customers enter the merge."""
-    anchors = [r["anchor"] for r in QUERIES["markdown_anchors_whole"](spark, sf).collect()]
+    anchors = [r["anchor"] for r in QUERIES["markdown_anchors"](spark, sf).collect()]
     assert max(map(len, anchors)) > 72 and len(anchors) == db.execute("SELECT count(*) FROM benchmark").fetchone()[0]
-    out = QUERIES["upsert_whole"](spark, sf).collect()
+    out = QUERIES["upsert"](spark, sf).collect()
     assert {r["k"] for r in out if r["k"] >= 0} == {k for (k,) in db.execute("SELECT c_custkey FROM customer").fetchall()}
     assert {(r["first_seen_run_id"], r["last_seen_run_id"]) for r in out} == {(1, 1), (1, 2), (2, 2)}
 
