@@ -59,11 +59,11 @@ def storage_summary(spark, d):
     return summary.storage_summary(o, tables.document_files(spark, d), tables.node_table(spark, d), tables.edge_table(spark, d), ev, ev, ev, o.select("run_id").distinct())
 
 
-@query(f"""WITH o AS ({OBS}) SELECT ordinal, kind AS raw_kind, path, CAST(start_line AS INTEGER) AS start_line, 'supports' AS link_kind FROM o WHERE path = 'u3/f3.py' AND kind = 'python.import' AND target = 'lib3'""")
+@query(f"""WITH o AS ({OBS}) SELECT ordinal, kind AS raw_kind, path, CAST(start_line AS INTEGER) AS start_line, 'supports' AS link_kind FROM o WHERE path = 'u7/f7.py' AND kind = 'python.import' AND target = 'lib3'""")
 def explained_edge(spark, d):
     o = tables.observations(spark, d)
     g = canonical.canonicalize(o)
-    out = ops.explain_edge(g.edges, g.edge_links, g.evidence, o, "file:u3/f3.py", "imports", "external:lib3")
+    out = ops.explain_edge(g.edges, g.edge_links, g.evidence, o, "file:u7/f7.py", "imports", "external:lib3")
     return out.select(F.split_part("evidence_key", F.lit(":"), F.lit(2)).cast("long").alias("ordinal"), "raw_kind", "path", "start_line", "link_kind")
 
 
