@@ -144,3 +144,36 @@ def fence(conditions: dict[str, Column]) -> Column:
         if state in conditions:
             out = F.when(F.coalesce(conditions[state], F.lit(False)), state).otherwise(out)
     return out
+
+
+def covering_chunk(occurrences: DataFrame, chunks: DataFrame, keys: list[str], occurrence_id: list[str], bin_lines: int = 64) -> DataFrame:
+    """Each occurrence with the chunk of its file that covers its line, the first by ordinal; the file's first chunk where none does; null without chunks.
+
+    occurrences(keys, start_line, ...), chunks(keys, chunk_ordinal, start_line, end_line, chunk_id). An equality join on the file
+    and on bins of lines finds the covering chunk, an aggregate the file's first one, so a file's occurrences never meet all its chunks.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("start_line") / bin_lines), F.floor(F.col("end_line") / bin_lines)))
+    spans = chunks.select(*keys, F.struct("chunk_ordinal", "chunk_id").alias("_chunk"), F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), bins.alias("_bin"))
+    at = occurrences.select(*keys, *[c for c in occurrence_id if c not in keys], "start_line", F.floor(F.col("start_line") / bin_lines).alias("_bin"))
+    covers = at.join(spans, [*keys, "_bin"]).where("start_line BETWEEN _from AND _to").groupBy(*occurrence_id).agg(F.min("_chunk").alias("_covers"))
+    first = chunks.groupBy(*keys).agg(F.min(F.struct("chunk_ordinal", "chunk_id")).alias("_first"))
+    out = occurrences.join(covers, occurrence_id, "left").join(first, keys, "left")
+    return out.select(*occurrences.columns, F.coalesce(F.col("_covers.chunk_id"), F.col("_first.chunk_id")).alias("chunk_id"), F.col("_covers").isNotNull().alias("covered"))
+
+
+#: What a lexical generation must have in common with the authority that names it and with the run behind it.
+FENCE = ("run_id", "publication_bundle_id", "snapshot_manifest_id", "policy_digest")
+
+
+def active_authority(authority: DataFrame, generations: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each repository's authority with the generation that it names and the run behind it, and the status of the fence: current, or the first field that disagrees."""
+    ids = ["repository_id", "lexical_generation_id"]
+    gen = generations.select(*ids, *[F.col(c).alias(f"gen_{c}") for c in FENCE], F.col("state").alias("gen_state"))
+    run = runs.select("repository_id", "run_id", *[F.col(c).alias(f"run_{c}") for c in FENCE[1:3]], F.col("status").alias("run_status"))
+    out = authority.select(*ids, *FENCE).join(gen, ids).join(run, ["repository_id", "run_id"])
+    status = F.when(F.col("gen_state") != "published", "state").when(F.col("run_status") != "complete", "run_status")
+    for c in FENCE:
+        status = status.when(~F.col(c).eqNullSafe(F.col(f"gen_{c}")), c)
+    for c in FENCE[1:3]:
+        status = status.when(~F.col(c).eqNullSafe(F.col(f"run_{c}")), f"run_{c}")
+    return out.withColumn("fence", status.otherwise("current"))

@@ -145,6 +145,12 @@ def node_locations(node_links: DataFrame, evidence: DataFrame, accepted_run: int
     return out.withColumn("relation", F.when(F.col("run_id") == accepted_run, "current").otherwise("historical"))
 
 
+def admitted_nodes(node_table: DataFrame, node_links: DataFrame, evidence: DataFrame, accepted_run: int, role: Column, admitted: Column) -> DataFrame:
+    """Nodes with evidence of a direct role that is admitted, in the run that node_locations chooses from all their links: a semi join after two aggregates."""
+    held = node_locations(node_links, evidence, accepted_run, (role == "direct") & admitted).select("canonical_key")
+    return node_table.join(held, "canonical_key", "left_semi")
+
+
 def grouped(candidates: DataFrame, destination: list[str], order: list[str], groups: int, members: int, skip: int = 0) -> DataFrame:
     """Candidates grouped by destination in the order of each group's first member: a page of groups, each with its first members (the feature's limits)."""
     w = Window.partitionBy(*destination)
