@@ -162,18 +162,18 @@ def covering_chunk(occurrences: DataFrame, chunks: DataFrame, keys: list[str], o
 
 
 #: What a lexical generation must have in common with the authority that names it and with the run behind it.
-FENCE = ("run_id", "publication_bundle_id", "snapshot_manifest_id", "policy_digest")
+AUTHORITY_FIELDS = ("run_id", "publication_bundle_id", "snapshot_manifest_id", "policy_digest")
 
 
 def active_authority(authority: DataFrame, generations: DataFrame, runs: DataFrame) -> DataFrame:
     """Each repository's authority with the generation that it names and the run behind it, and the status of the fence: current, or the first field that disagrees."""
     ids = ["repository_id", "lexical_generation_id"]
-    gen = generations.select(*ids, *[F.col(c).alias(f"gen_{c}") for c in FENCE], F.col("state").alias("gen_state"))
-    run = runs.select("repository_id", "run_id", *[F.col(c).alias(f"run_{c}") for c in FENCE[1:3]], F.col("status").alias("run_status"))
-    out = authority.select(*ids, *FENCE).join(gen, ids).join(run, ["repository_id", "run_id"])
+    gen = generations.select(*ids, *[F.col(c).alias(f"gen_{c}") for c in AUTHORITY_FIELDS], F.col("state").alias("gen_state"))
+    run = runs.select("repository_id", "run_id", *[F.col(c).alias(f"run_{c}") for c in AUTHORITY_FIELDS[1:3]], F.col("status").alias("run_status"))
+    out = authority.select(*ids, *AUTHORITY_FIELDS).join(gen, ids).join(run, ["repository_id", "run_id"])
     status = F.when(F.col("gen_state") != "published", "state").when(F.col("run_status") != "complete", "run_status")
-    for c in FENCE:
+    for c in AUTHORITY_FIELDS:
         status = status.when(~F.col(c).eqNullSafe(F.col(f"gen_{c}")), c)
-    for c in FENCE[1:3]:
+    for c in AUTHORITY_FIELDS[1:3]:
         status = status.when(~F.col(c).eqNullSafe(F.col(f"run_{c}")), f"run_{c}")
     return out.withColumn("fence", status.otherwise("current"))
