@@ -1,6 +1,6 @@
 
 
-from . import more  # noqa: F401  (registers its queries)
+from . import family, more  # noqa: F401  (register their queries)
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
