@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to Python, about: Spark's own limits are 10,000 rows and 64 MB
 #: ASCII white space, the only separators of a word.
 SPACES = (9, 10, 11, 12, 13, 32)
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -46,6 +47,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session end at BATCH_BYTES, so a task's buffers don't grow with its texts. A limit set by others stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == "67108864b":
+        spark.conf.set(limit, BATCH_BYTES)
+
+
 def text_slices(texts: pa.Array, max_bytes: int = 1 << 20):
     """Yield (lo, hi, bytes, offsets) over rows lo..hi of a string column, about max_bytes each; null reads as empty.
 
@@ -206,6 +214,7 @@ def with_columns(df: DataFrame, fields: list[tuple[str, str]], make, inputs: lis
             cols += [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
+    small_batches(df.sparkSession)
     q = lambda n: df["`" + n.replace("`", "``") + "`"]
     shaped = df.select(*[q(n) for n in kept], *[q(n).alias(free_name(f"_in{i}", kept)) for i, n in enumerate(inputs)])
     return shaped.mapInArrow(run, schema)

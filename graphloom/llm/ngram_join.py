@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import _RNG, durable, mix, packed_rest, shingle_sets, span_hashes, text_slices, unpacked, window_hashes, word_bounds
+from .common import _RNG, durable, mix, packed_rest, shingle_sets, small_batches, span_hashes, text_slices, unpacked, window_hashes, word_bounds
 from .components import connected_components
 
 WIDTH = 5  # words of a shingle
@@ -298,6 +298,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     where the row to keep is one of several equal in id and text, all of these are `kept` and `repeated`, and one_of_each keeps one. Columns with these names are replaced. An empty table gives an empty table.
     """
     spark, shape = df.sparkSession, bands_for(threshold)
+    small_batches(spark)
     names = [c for c in df.columns if c.lower() not in ("class_id", "n_links", "kept", "repeated")]
     ids, texts = (F.col("`" + c.replace("`", "``") + "`") for c in (id_col, text_col))
     text_key = F.when(texts.rlike("[^\\x20\\x09-\\x0D]"), F.unhex(F.md5(texts.cast("binary"))))  # null: no word

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, text_ids
-from .common import durable, free_name, packed_rest, unpacked
+from .common import durable, free_name, packed_rest, small_batches, unpacked
 
 CAPACITY = 2048
 GROUP_ROWS = 20_000
@@ -150,6 +150,7 @@ def token_pieces(df: DataFrame, vocabulary: bytes, text_col: str = "text", capac
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     added = _parse_datatype_string("piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     new = {f.name for f in added}

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import bpe, langid, packing, pii, quality, sharding
+from graphloom.llm import bpe, common, langid, packing, pii, quality, sharding
 from graphloom.llm.queries import QUERIES, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -402,3 +402,10 @@ def test_clashing_names(spark):
     for out in (packing.pack_documents(own, vocabulary()), sharding.shard_by_size(own.selectExpr("*", "10 as size", "9 as _size", "9 as _key", "9 as coarse", "9 as fine"), "doc_id", "size", 4)):
         rows = out.collect()
         assert len(rows) == 30 and all(r[c] == 9 for r in rows for c in own.columns if c in out.columns and c not in ("doc_id", "text"))
+
+
+def test_small_batches(spark):
+    """Arrow batches end at a number of bytes, so long texts don't fill a task's memory."""
+    df = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('some words. ', 400) as text")
+    out = common.with_columns(df, [("n", "long")], lambda cols: [[len(cols[0])] * len(cols[0])], ["text"])
+    assert 4000 == out.count() and out.selectExpr("max(n * octet_length(text))").first()[0] < 5 << 20
