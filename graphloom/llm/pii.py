@@ -2,18 +2,22 @@
 
 Four base kinds (email, ip, card, phone) have exact rules and always stay. Further candidates - near misses of the base rules, addresses
 spelled out, phones without a plus, cards with other separators, IPv6 addresses, account numbers, keys, tokens and passwords - are chosen
-by a gradient-boosted model of format and context. It learns from made-up examples and from candidates in a bounded sample of the texts
-themselves, which the base rules label.
+by a gradient-boosted model of format and context. It learns from made-up examples and from all candidates in the texts themselves that
+the base rules label: these are counted by their bins, and the fit reads sums over all of them.
 
 Every pattern is applied only where a match can begin and reads a character a bounded number of times, so time grows with a text's length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import durable, small_batches, with_columns
 
 # Fixed patterns of the base kinds, as they are stated. base_spans finds the same matches in linear time.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -62,8 +66,12 @@ CONTEXT = {
 AGAINST = ("version", "isbn", "order", "chapter", "page", "issue", "figure", "doi", "sku", "model", "release", "checksum", "commit", "sha")
 PRECISION = 0.98  # thresholds are calibrated to this precision on held-out examples
 TREES, DEPTH, RATE, BINS, EXAMPLES = 40, 3, 0.3, 16, 3600
-SAMPLE = {
-    "docs": 4000,  # texts whose candidates the fit reads, about: the bound of the sample
+UNIT = 1 << 20  # gradients are whole numbers of this part: sums of fewer than 2**33 candidates are exact in any order
+STEPS = 1 << 14  # scores are whole numbers of this part, so counts by score have a fixed size
+VALUES, FARTHEST = 1 << 10, 1 << 14  # where edges are laid, features are whole numbers of the first part, and the second at most
+LOCAL = 1 << 16  # candidates of different bins that are fitted on the driver, counted; where there are more, each pass sums them in tasks
+SAMPLE = {  # of sample_candidates
+    "docs": 4000,  # texts whose candidates it reads, about: the bound of the sample
     "each": 64,  # candidates of one text, at most, those with the least hash
     "rows": 8000,  # candidates in all, at most, those with the least hash
 }
@@ -192,59 +200,107 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+class Rows(NamedTuple):
+    """Labelled candidates by their bins (n, features): kind (its place in EXTRA), label, whether they are held out of the fit, and how many."""
+
+    bins: np.ndarray
+    kind: np.ndarray
+    good: np.ndarray
+    held: np.ndarray
+    n: np.ndarray
+
+
+class Tree(NamedTuple):
+    """Nodes from 1, with children 2 i and 2 i + 1: the feature of a split or -1, the last bin that goes left, and the value of a leaf."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    leaf: np.ndarray
+
+    def walk(self, bins: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+        """The node of each row after so many splits, at most."""
+        node, at = np.ones(len(bins), np.int64), np.arange(len(bins))
+        for _ in range(depth):
+            j = self.feature[node]
+            node = np.where(j >= 0, 2 * node + (bins[at, j] > self.cut[node]), node)
+        return node
+
+
+def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+def _level(rows: Rows, score: np.ndarray, tree: Tree, depth: int) -> np.ndarray:
+    """(node, feature, bin, 3): sums of gradients, their slopes and rows over the nodes of a depth."""
+    node = tree.walk(rows.bins, depth) - (1 << depth)
+    at = np.flatnonzero((node >= 0) & ~rows.held)
+    node, n, bins = node[at], rows.n[at].astype(float), rows.bins[at]
+    prob = 1 / (1 + np.exp(-score[at]))
+    parts = (np.rint((prob - rows.good[at]) * UNIT) * n, np.rint(prob * (1 - prob) * UNIT) * n, n)
+    out = np.zeros((1 << depth, bins.shape[1], BINS + 1, 3))
+    for j in range(bins.shape[1]):
+        for k, part in enumerate(parts):
+            out[:, j, :, k] = np.bincount(node * (BINS + 1) + bins[:, j], weights=part, minlength=(BINS + 1) << depth).reshape(1 << depth, BINS + 1)
+    return out
+
+
 class Boosting:
-    """Binary gradient boosting of logistic loss: trees of depth DEPTH over binned features."""
+    """Binary gradient boosting of logistic loss: trees of depth DEPTH over binned features, which see only sums over rows."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosting:
-        self.edges = [self._edges(np.unique(x[:, j]), x[:, j]) for j in range(x.shape[1])]
-        b = self._bins(x)
-        mean = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    def __init__(self, edges: list[np.ndarray], mean: float):
+        self.edges, self.trees = edges, []
+        mean = min(max(mean, 1e-3), 1 - 1e-3)
         self.bias = math.log(mean / (1 - mean))
-        score, self.trees = np.full(len(y), self.bias), []
-        for _ in range(TREES):
-            prob = 1 / (1 + np.exp(-score))
-            tree = self._grow(b, prob - y, prob * (1 - prob), np.arange(len(y)), DEPTH)
-            self.trees.append(tree)
-            score += self._walk(tree, b)
-        return self
 
     @staticmethod
-    def _edges(values: np.ndarray, column: np.ndarray) -> np.ndarray:
+    def edges_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Between all values where these are few, or else at quantiles; so a rare flag has its bin."""
-        return (values[1:] + values[:-1]) / 2 if len(values) <= BINS else np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1]))
-
-    def _bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
-
-    def _grow(self, b, g, h, at, depth):
-        total_g, total_h = g[at].sum(), h[at].sum()
-        leaf = -RATE * total_g / (total_h + 1.0)
-        if not depth or len(at) < 20:
-            return leaf
-        best, gain = None, 1e-6
-        for j in range(b.shape[1]):
-            sg, sh = (np.bincount(b[at, j], weights=v[at], minlength=BINS + 1).cumsum() for v in (g, h))
-            gains = sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1)
-            k = int(gains[:-1].argmax())
-            if gains[k] > gain:
-                best, gain = (j, k), gains[k]
-        if best is None:
-            return leaf
-        j, k = best
-        left = b[at, j] <= k
-        return (j, k, self._grow(b, g, h, at[left], depth - 1), self._grow(b, g, h, at[~left], depth - 1))
-
-    def _walk(self, tree, b) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(b), tree)
-        j, k, lo, hi = tree
-        out, left = np.empty(len(b)), b[:, j] <= k
-        out[left], out[~left] = self._walk(lo, b[left]), self._walk(hi, b[~left])
-        return out
+        if len(values) <= BINS:
+            return (values[1:] + values[:-1]) / 2
+        upto = np.cumsum(counts)
+        return np.unique(values[np.searchsorted(upto, np.arange(1, BINS) / BINS * upto[-1])])
+
+    def scores(self, bins: np.ndarray) -> np.ndarray:
+        """Before the logistic function, tree by tree, as the fit adds them up."""
+        score = np.full(len(bins), self.bias)
+        for t in self.trees:
+            score += t.leaf[t.walk(bins)]
+        return score
+
+    def grow(self, level) -> Tree:
+        """The next tree; level(tree, depth) gives the sums of _level over all rows."""
+        tree = Tree(np.full(2 << DEPTH, -1), np.zeros(2 << DEPTH, np.int64), np.zeros(2 << DEPTH))
+        value = lambda g, h: -RATE * g / (h + 1.0)
+        for depth in range(DEPTH):
+            open_nodes = [i for i in range(1 << depth) if not depth or tree.feature[(1 << depth) + i >> 1] >= 0]
+            sums = level(tree, depth) / (UNIT, UNIT, 1) if open_nodes else ()
+            for i in open_nodes:
+                total_g, total_h, total_n = sums[i, 0].sum(axis=0)
+                tree.leaf[(1 << depth) + i] = value(total_g, total_h)
+                if total_n < 20:
+                    continue
+                sg, sh, _ = np.moveaxis(sums[i].cumsum(axis=1), 2, 0)
+                gains = sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1)
+                j, k = divmod(int(gains[:, :-1].argmax()), BINS)
+                if gains[j, k] > 1e-6:
+                    node = (1 << depth) + i
+                    tree.feature[node], tree.cut[node] = j, k
+                    tree.leaf[2 * node], tree.leaf[2 * node + 1] = value(sg[j, k], sh[j, k]), value(total_g - sg[j, k], total_h - sh[j, k])
+        self.trees.append(tree)
+        self._all = Tree(*(np.stack(x) for x in zip(*self.trees, strict=True)))
+        return tree
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._bins(np.asarray(x, dtype=float))
-        return 1 / (1 + np.exp(-(self.bias + sum(self._walk(t, b) for t in self.trees))))
+        return self.predict_bins(_binned(np.asarray(x, dtype=float), self.edges))
+
+    def predict_bins(self, bins: np.ndarray) -> np.ndarray:
+        """Scores from 0 to 1, in whole STEPS; all trees at once, as texts have few candidates each."""
+        t, at, which = self._all, np.arange(len(bins))[:, None], np.arange(len(self.trees))[None]
+        node = np.ones((len(bins), len(self.trees)), np.int64)
+        for _ in range(DEPTH):
+            j = t.feature[which, node]
+            node = np.where(j >= 0, 2 * node + (bins[at, j] > t.cut[which, node]), node)
+        return np.rint(STEPS / (1 + np.exp(-(self.bias + t.leaf[which, node].sum(axis=1))))) / STEPS
 
 
 def _example(rng: random.Random, kind: str, real: bool) -> str:
@@ -286,28 +342,31 @@ def _example(rng: random.Random, kind: str, real: bool) -> str:
     return f"{words(rng.randint(2, 9))} {cue}{s} {words(rng.randint(2, 9))}"
 
 
-def labelled(text: str, each: int = SAMPLE["each"]) -> list[tuple[int, str, bool, list[float]]]:
-    """(hash, kind, label, features) of the candidates of a text that the base rules label, `each` at most, those with the least hash.
+def labelled(text: str, each: int | None = None) -> Iterator[tuple[int, str, bool, list[float]]]:
+    """(hash, kind, label, features) of the candidates of a text that the base rules label; of `each` at most, those with the least hash.
 
     A base span, or a candidate within one of its kind, is personal data; a near miss of a base rule is not; others have no label.
     """
     base, near = _scan(text)
     inside = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
+    starts, known = {k: [a for a, _ in spans] for k, spans in inside.items()}, set(base)
     rows = [(c, True) for c in base] + [(c, False) for c in near]
     for kind, a, b in set(candidates(text)):
-        spans = inside.get(kind, ())
-        at = np.searchsorted([x[0] for x in spans], a, side="right") - 1 if spans else -1
-        if at >= 0 and spans[at][0] <= a and b <= spans[at][1] and (kind, a, b) not in base:
+        at = bisect.bisect_right(starts.get(kind, ()), a) - 1
+        if at >= 0 and b <= inside[kind][at][1] and (kind, a, b) not in known:
             rows.append(((kind, a, b), True))
     if not rows:
-        return []
+        return
     seed = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
     hashed = sorted((int.from_bytes(hashlib.blake2b(f"{c}".encode(), key=seed, digest_size=8).digest(), "big") >> 1, c, good) for c, good in rows)
-    return [(h, c[0], good, features(text, *c)) for h, c, good in hashed[:each]]
+    for h, c, good in hashed[:each]:
+        yield h, c[0], good, features(text, *c)
 
 
 def sample_candidates(df: DataFrame, text_col: str, key_col: str, sample: dict | None = None) -> list[tuple[str, bool, list[float]]]:
-    """(kind, label, features) of candidates that the base rules label, in a sample of the texts of df of bounded size (SAMPLE).
+    """(kind, label, features) of candidates that the base rules label, in a sample of the texts of df of bounded size (SAMPLE), to look at.
+
+    find_pii doesn't draw it: the fit there reads all candidates.
 
     Rows are drawn by a hash of key_col; copies of a text count once. At most `rows` short rows reach the driver.
     """
@@ -337,24 +396,136 @@ class Model(NamedTuple):
     report: dict[str, tuple[float, float, int]]
 
 
-def calibrated(p: np.ndarray, t: np.ndarray, precision: float = PRECISION) -> tuple[float, float, float]:
-    """(threshold, precision, recall): of all thresholds that reach the precision those of the highest recall, of these the highest one,
-    and half way from there to the next lower score. 1.1, so nothing passes, where none reaches it."""
+def calibrated(p: np.ndarray, t: np.ndarray, n: np.ndarray, precision: float = PRECISION) -> tuple[float, float, float]:
+    """(threshold, precision, recall) of n candidates of each score p, t of them right: of all thresholds that reach the precision those of
+    the highest recall, of these the highest one, and half way from there to the next lower score. 1.1, so nothing passes, where none does."""
     order = np.argsort(-p, kind="stable")
-    p, t = p[order], t[order].astype(float)
-    right = np.cumsum(t)
-    got = right / np.arange(1, len(t) + 1)
+    p, right = p[order], np.cumsum(t[order].astype(float))
+    got = right / np.cumsum(n[order])
     whole = np.append(p[1:] < p[:-1], True) if len(p) else np.zeros(0, dtype=bool)  # a threshold can't part equal scores
     good = np.flatnonzero(whole & (got >= precision) & (right > 0))
     if not len(good):
         return 1.1, 1.0, 0.0
     k = int(good[np.argmax(right[good])])
     below = p[k + 1] if k + 1 < len(p) else 0.0
-    return float((p[k] + below) / 2), float(got[k]), float(right[k] / max(1.0, t.sum()))
+    return float((p[k] + below) / 2), float(got[k]), float(right[k] / max(1.0, right[-1]))
+
+
+_CANDIDATES = "h bigint, kind tinyint, good boolean, x binary"
+_ROWS = "bins binary, kind tinyint, good boolean, held boolean"
+
+
+def _held(h):
+    return h % 3 == 0
+
+
+def _labelled_batches(batches):
+    """Columns of _CANDIDATES of a column of texts."""
+    texts = (text for batch in batches for text in batch.column(0).to_pylist())
+    found = ((h, EXTRA.index(kind), good, np.array(x, float).tobytes()) for text in texts for h, kind, good, x in labelled(text))
+    while rows := list(itertools.islice(found, 4096)):
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int8(), pa.bool_(), pa.binary()), strict=True)], names=["h", "kind", "good", "x"])
 
 
-def train(real: list[tuple[str, bool, list[float]]] = (), seed: int = 11) -> Model:
-    """The model: fitted on two thirds of EXAMPLES made-up texts (half with personal data) and of the labelled candidates, calibrated on the rest."""
+def _features_of(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("x").to_pylist()), float).reshape(batch.num_rows, -1)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.minimum(x, FARTHEST) * VALUES).astype(np.int64)
+
+
+def _values(batches):
+    """(feature, value in whole VALUES, n) of the candidates to fit."""
+    for batch in batches:
+        x = _whole(_features_of(batch)[~_held(batch.column("h").to_numpy())])
+        found = [(j, *np.unique(x[:, j], return_counts=True)) for j in range(x.shape[1])] if len(x) else [(0, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(v), j, np.int32) for j, v, _ in found])), *(pa.array(np.concatenate([f[k] for f in found])) for k in (1, 2))], names=["j", "v", "n"])
+
+
+def _binned_batches(batches, edges):
+    """Columns of _ROWS."""
+    for batch in batches:
+        bins = [r.tobytes() for r in _binned(_features_of(batch), edges)] if batch.num_rows else []
+        held = pa.array(_held(batch.column("h").to_numpy()), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), batch.column("kind"), batch.column("good"), held], names=["bins", "kind", "good", "held"])
+
+
+def _rows(table) -> Rows:
+    """Of a batch or table with the columns of _ROWS and n."""
+    bins, *rest = (table.column(c) for c in ("bins", "kind", "good", "held", "n"))
+    return Rows(np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(table.num_rows, -1), *(np.array(c.to_pylist(), t) for c, t in zip(rest, (np.int64, bool, bool, np.int64), strict=True)))
+
+
+def _by_score(rows: Rows, model: Boosting) -> np.ndarray:
+    """(kind, score in whole STEPS, 2): right ones and all of the rows held out."""
+    at, out = rows.held, np.zeros((len(EXTRA), STEPS + 1, 2))
+    if at.any():
+        score = np.concatenate([np.rint(model.predict_bins(rows.bins[at][k : k + 4096]) * STEPS).astype(np.int64) for k in range(0, int(at.sum()), 4096)])
+        for k, n in enumerate((rows.n[at] * rows.good[at], rows.n[at])):
+            np.add.at(out, (rows.kind[at], score, k), n)
+    return out
+
+
+def _summed(far: DataFrame | None, make, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of make(rows), an array of whole numbers of this shape, over the rows of far; at most its size reaches the driver."""
+    out = np.zeros(math.prod(shape))
+    if far is not None:
+
+        def run(batches):
+            total = np.zeros(shape)
+            for batch in batches:
+                if batch.num_rows:
+                    total += make(_rows(batch))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.reshape(-1)[at])], names=["at", "v"])
+
+        got = far.mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out.reshape(shape)
+
+
+def _fitted(x: np.ndarray, kind: np.ndarray, good: np.ndarray, held: np.ndarray, more: DataFrame | None = None, local: int = LOCAL) -> Model:
+    """The model of the rows given and those of more (_CANDIDATES), all of which count; the same whether these fit on the driver or not."""
+    width = x.shape[1]
+    values = [Counter(dict(zip(*(a.tolist() for a in np.unique(_whole(x[~held, j]), return_counts=True)), strict=True))) for j in range(width)]
+    if more is not None:
+        got = more.mapInArrow(_values, "j int, v bigint, n bigint").groupBy("j", "v").agg(F.sum("n").alias("n")).toArrow()  # features have bounded values
+        for j, v, n in zip(*(got.column(c).to_pylist() for c in ("j", "v", "n")), strict=True):
+            values[j][v] += n
+    edges = []
+    for c in values:
+        at = np.array(sorted(c), np.int64)
+        edges.append(Boosting.edges_of(at / VALUES, np.array([c[v] for v in at.tolist()], np.int64)))
+    near, far = Rows(_binned(x, edges), kind, good, held, np.ones(len(x), np.int64)), None
+    if more is not None:
+        counted = durable(more.mapInArrow(lambda b: _binned_batches(b, edges), _ROWS).groupBy("bins", "kind", "good", "held").agg(F.count(F.lit(1)).alias("n")))
+        if counted.count() > local:
+            far = counted
+        elif (t := counted.toArrow()).num_rows:
+            near = Rows(*map(np.concatenate, zip(near, _rows(t), strict=True)))
+    own = lambda r: np.array([(r.n * r.good * ~r.held).sum(), (r.n * ~r.held).sum()], float)
+    right, n = own(near) + _summed(far, own, (2,))
+    model = Boosting(edges, right / max(n, 1))
+    score = model.scores(near.bins)
+    for _ in range(TREES):
+
+        def level(tree, depth):
+            return _level(near, score, tree, depth) + _summed(far, lambda r: _level(r, model.scores(r.bins), tree, depth), (1 << depth, width, BINS + 1, 3))
+
+        tree = model.grow(level)
+        score += tree.leaf[tree.walk(near.bins)]
+    counts = _by_score(near, model) + _summed(far, lambda r: _by_score(r, model), (len(EXTRA), STEPS + 1, 2))
+    thresholds, report = {}, {}
+    for k, name in enumerate(EXTRA):
+        at = np.flatnonzero(counts[k, :, 1])
+        thresholds[name], *got = calibrated(at / STEPS, *counts[k, at].T)
+        report[name] = (*got, int(counts[k, :, 1].sum()))
+    return Model(model, thresholds, report)
+
+
+def _made_up(seed: int) -> list[tuple[list[float], bool, str]]:
     rng = random.Random(seed)
     rows = []
     for kind in EXTRA:
@@ -362,17 +533,24 @@ def train(real: list[tuple[str, bool, list[float]]] = (), seed: int = 11) -> Mod
             text = _example(rng, kind, i % 2 == 0)
             found = candidates(text)
             rows += [(features(text, k, a, b), i % 2 == 0, k) for k, a, b in sorted(set(found) | (set() if i % 2 == 0 else set(_scan(text)[1])))]
-    rows += [(x, good, kind) for kind, good, x in real]
-    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-    fit = np.arange(len(rows)) % 3 != 0
-    trees = Boosting().fit(x[fit], y[fit])
-    held, thresholds, report = trees.predict(x[~fit]), {}, {}
-    kinds = np.array([r[2] for r in rows])[~fit]
-    for kind in EXTRA:
-        own = kinds == kind
-        thresholds[kind], *got = calibrated(held[own], y[~fit][own])
-        report[kind] = (*got, int(own.sum()))
-    return Model(trees, thresholds, report)
+    return rows
+
+
+def train(real: list[tuple[str, bool, list[float]]] = (), seed: int = 11, more: DataFrame | None = None, local: int = LOCAL) -> Model:
+    """The model: fitted on two thirds of EXAMPLES made-up texts (half with personal data) and of the labelled candidates, calibrated on the rest.
+
+    real: candidates in a list; more: those in a table of labelled_candidates. All count.
+    """
+    rows = _made_up(seed) + [(x, good, kind) for kind, good, x in real]
+    x, good, kind = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], bool), np.array([EXTRA.index(r[2]) for r in rows])
+    return _fitted(x, kind, good, np.arange(len(rows)) % 3 == 0, more, local)
+
+
+def labelled_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """All candidates in all texts of df that the base rules label, cut durably: 250 bytes each. Copies of a text count once."""
+    small_batches(df.sparkSession)
+    texts = df.select(F.col("`" + text_col.replace("`", "``") + "`").alias("text")).where("text is not null")
+    return durable(texts.mapInArrow(_labelled_batches, _CANDIDATES).distinct())
 
 
 def find(text: str, model: Model) -> tuple[list, list]:
@@ -415,17 +593,17 @@ def joined(spans) -> str:
 FIELDS = [("n_email", "long"), ("n_ip", "long"), ("n_card", "long"), ("n_phone", "long"), ("base_sha256", "string"), ("spans", "string"), ("n_spans", "long"), ("has_pii", "boolean"), ("redacted", "string")]
 
 
-def find_pii(df: DataFrame, text_col: str = "text", key_col: str | None = None, model: Model | None = None, sample: dict | None = None) -> DataFrame:
+def find_pii(df: DataFrame, text_col: str = "text", key_col: str | None = None, model: Model | None = None) -> DataFrame:
     """Add FIELDS to each row: base counts, the digest of base spans, all spans, their number, whether there is any, and the redacted text.
 
     Null reads as empty: no spans, and redacted stays null. One pass over whole texts without a shuffle, in time that grows with their
     length; repeated rows and hot sources are met row by row; of overlapping candidates the likelier stays, of equally likely ones the
-    first. An empty table gives an empty table. Columns of df with the names of FIELDS are replaced, all others stay. The model is
-    trained on the driver in seconds and has a fixed size: on made-up examples of the formats and, where key_col (a column of ids) is
-    given, on candidates in a bounded sample of the rows (SAMPLE), which the base rules label.
+    first. An empty table gives an empty table. Columns of df with the names of FIELDS are replaced, all others stay. The model has a
+    fixed size. It is trained on made-up examples of the formats and, where key_col (a column of ids) is given, in a pass before on all
+    candidates in all rows that the base rules label; the driver gets sums and counts, and LOCAL different rows at most.
     """
     if model is None:
-        model = train(sample_candidates(df, text_col, key_col, sample) if key_col else [])
+        model = train(more=labelled_candidates(df, text_col) if key_col else None)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(cols: list[pa.Array]):

@@ -378,6 +378,23 @@ def test_pii_learns_from_texts(spark):
     assert {(r["n_card"], r["has_pii"], r["n_spans"]) for r in pii.find_pii(df, key_col="doc_id").collect()} == {(1, True, 2), (0, True, 1), (0, False, 0)}
 
 
+def test_pii_fit_reads_all(spark, monkeypatch):
+    """Every labelled candidate of every text counts in the fit and in the thresholds, once for copies of a text, on the driver or in tasks."""
+    rng = random.Random(5)
+    own = [f"call {i} " + " ".join(f"{300 + rng.randrange(600)}.{rng.randrange(99)}.2.{k} 10.{k}.3.{i}" for k in range(100)) for i in range(60)] + ["nothing here", "write to ann@mail.com"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(own * 2)] + [(900, None), (901, "")], "doc_id long, text string").repartition(5)
+    more = pii.labelled_candidates(df)
+    assert more.count() == 60 * 200 + 1
+    made_up, near, far = pii.train(), pii.train(more=more), pii.train(more=more, local=0)
+    held = {k: more.where(f"h % 3 = 0 and kind = {i}").count() for i, k in enumerate(pii.EXTRA)}
+    assert held["ip"] > 3000 and all(near.report[k][2] == made_up.report[k][2] + held[k] for k in held)
+    assert near.thresholds == far.thresholds and near.report == far.report
+    assert all(np.array_equal(x, y) for a, b in zip(near.trees.trees, far.trees.trees, strict=True) for x, y in zip(a, b, strict=True))
+    assert pii.train(more=pii.labelled_candidates(df.limit(0))).thresholds == made_up.thresholds
+    monkeypatch.setattr(pii, "sample_candidates", None)
+    assert pii.find_pii(df, key_col="doc_id").where("n_ip = 100 and n_spans >= 100").count() == 120
+
+
 @pytest.mark.parametrize("text", ["0" * 10**6, "a" * 10**6, "1." * 500_000, "7" * 10**6 + " 1.2.3.4", "a" * 10**6 + "@x ", "a@" * 500_000, "ab:" * 333_333, "+1(" * 333_333, "4 " * 500_000, "ab_" * 333_333, "[at" * 333_333, "A" * 10**6])
 def test_pii_long_runs(text):
     """Time grows with the length, and no number is too long."""
