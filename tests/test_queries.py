@@ -39,3 +39,33 @@ def test_every_seed(spark, sf, db):
     """Each vec_id divisible by 50 is a seed with its own 25 rows."""
     seeds = [r["seed"] for r in QUERIES["nearest_vectors_each"](spark, sf).collect()]
     assert {s: seeds.count(s) for s in seeds} == {k: 25 for (k,) in db.execute("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0").fetchall()}
+
+
+def test_nearest_each_blocks(spark, monkeypatch):
+    """Small blocks and tiles, copies, ties, ids given twice, vectors without direction, missing ones and other lengths: the rows of plain SQL, without a join of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import similar
+
+    monkeypatch.setattr(similar, "TILE_ROWS", 16)
+    monkeypatch.setattr(similar, "TILE_SEEDS", 3)
+    r = random.Random(3)
+    data = [(i, [r.choice((-1.0, 0.5, 1.0)) for _ in range(4)] if i % 3 else [r.random() for _ in range(4)]) for i in range(160)] + [(1000 + i, [0.5, 1.0, 0.5, 1.0]) for i in range(40)] + [(7, [1.0, 2.0, 3.0, 5.0])]
+    odd = [(2000, [0.0] * 4), (2001, None), (2002, [1.0, 2.0]), (2003, [1.0, None, 1.0, 1.0]), (2004, [float("inf"), 1.0, 1.0, 1.0])]
+    for rows, k in ((data, 5), (data[:9] + odd, 12)):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+        seeds = df.where("vec_id % 4 = 0 or vec_id = 7 or vec_id > 2000")
+        out = similar.nearest_each(df, seeds, k, block_rows=50, seed_rows=20)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        got = sorted((x["seed"], x["vec_id"], repr(x["distance"])) for x in out.collect())
+        cos = F.try_divide(similar.dot(F.col("embedding"), F.col("q")), similar.norm(F.col("embedding")) * similar.norm(F.col("q")))
+        none = similar.dot(F.col("embedding"), F.col("q")).isNotNull() & cos.isNull()
+        pairs = df.crossJoin(seeds.select(F.col("vec_id").alias("seed"), F.col("embedding").alias("q"))).where("vec_id <> seed").withColumn("distance", F.when(none, float("nan")).otherwise(F.round(1 - cos, 8)))
+        want = sorted((x["seed"], x["vec_id"], x["distance"]) for x in pairs.select("seed", "vec_id", "distance").collect() if x["distance"] == x["distance"] and x["distance"] is not None)
+        want += [(x["seed"], x["vec_id"], float("nan")) for x in pairs.collect() if x["distance"] is not None and x["distance"] != x["distance"]] + [(x["seed"], x["vec_id"], None) for x in pairs.collect() if x["distance"] is None]
+        order = lambda x: (x[2] is None, x[2] is not None and x[2] != x[2], x[2] if x[2] is not None and x[2] == x[2] else 0, x[1])
+        best = [(s, v, repr(d)) for one in {x[0] for x in want} for s, v, d in sorted((x for x in want if x[0] == one), key=order)[:k]]
+        assert got == sorted(best)
