@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,37 @@ def alias_tokens(path: Column, text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(raw, tokens)), lambda t: t.rlike("^[a-z0-9]{2,64}$")))
 
 
+_RAW, _SEPARATORS, _CAMEL, _ALIAS = re.compile("[A-Za-z0-9_./:-]+"), re.compile("[/_.:-]+"), (re.compile("([A-Z]+)([A-Z][a-z])"), re.compile("([a-z0-9])([A-Z])")), re.compile("[a-z0-9]{2,64}")
+_DIGITS = re.compile("(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
+
+
+def alias_words(path: str, text: str) -> list[str]:
+    """As alias_tokens, for Python strings. What a worker has read of short names is kept."""
+    out: dict[str, None] = {}
+    for raw in dict.fromkeys([r.strip("/_.:-") for r in _RAW.findall(path) + _RAW.findall(text)]):
+        if raw.isalpha() and (raw[1:].islower() or raw.isupper() or raw.islower()):  # a plain word is its own alias
+            if 2 <= len(raw) <= 64:
+                out[raw.lower()] = None
+        elif raw:
+            for alias in _kept_aliases(raw) if len(raw) <= 64 else _aliases(raw):
+                out[alias] = None
+    return list(out)
+
+
+def _aliases(raw: str) -> tuple[str, ...]:
+    parts, out = [p for p in _SEPARATORS.split(raw) if p], []
+    for part in parts:
+        out.append(part.lower())
+        for piece in _CAMEL[1].sub(r"\1 \2", _CAMEL[0].sub(r"\1 \2", part)).lower().split(" "):
+            out += [piece, *_DIGITS.split(piece)]
+    if len(parts) > 1:
+        out.append("".join(parts).lower())
+    return tuple(t for t in dict.fromkeys(out) if _ALIAS.fullmatch(t))
+
+
+_kept_aliases = lru_cache(1 << 17)(_aliases)
+
+
 def markdown_anchor(heading: Column) -> Column:
     """A heading's anchor: marks dropped, lower case, blanks to hyphens, other characters dropped, hyphens collapsed; `section` if nothing is left."""
     t = F.lower(F.regexp_replace(heading, r"[`*_\[\]()]", ""))

@@ -6,13 +6,15 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_tokens, occurrences
+from ..functions.text import alias_tokens, alias_words, occurrences
 
 MAX_CHUNKS, MAX_FILES, MAX_LITERAL_DOCS, MAX_LITERAL_BYTES, MAX_PER_FILE = 5000, 1000, 4096, 16 << 20, 1024
 WEIGHT_ALIAS, WEIGHT_TEXT = 1.0, 0.1
+WORD = re.compile(r"\w+")  # letters, numbers and underscores, as tokens() has them
 
 
 def tokens(text: Column) -> Column:
@@ -89,25 +91,66 @@ def cover_density(positions: np.ndarray, weights: np.ndarray, token: np.ndarray,
 def ranked(chunks: DataFrame, query_text: str, key: list[str], path_col: str = "path", text_col: str = "chunk_text", file_key: list[str] | None = None, max_chunks: int = MAX_CHUNKS, max_files: int = MAX_FILES) -> tuple[str, DataFrame]:
     """("ok", matching chunks with a score, best first) or ("candidate_overflow", no rows) beyond the feature's limits of chunks and files."""
     query = parse_web_query(query_text)
-    words = query.words
-    hit = satisfies(F.concat_ws(" ", F.array_join(alias_tokens(F.col(path_col), F.col(text_col)), " "), F.col(text_col)), query) if query.any_of else F.lit(False)
-    found = chunks.where(hit)
-    over = found.limit(max_chunks + 1).count() > max_chunks or (file_key is not None and found.select(*file_key).distinct().limit(max_files + 1).count() > max_files)
+    found = chunks.withColumn("score", chunk_scores(query)(F.col(path_col), F.col(text_col))).where("score is not null")
+    n = chunks.count()  # reads no text; only where there are more rows than a limit, texts are searched to see whether it is met
+    over = (n > max_chunks and found.limit(max_chunks + 1).count() > max_chunks) or (file_key is not None and n > max_files and found.select(*file_key).distinct().limit(max_files + 1).count() > max_files)
     if over:
-        return "candidate_overflow", found.limit(0).withColumn("score", F.lit(0.0))
-    if not words:
-        return "ok", found.withColumn("score", F.lit(0.0)).orderBy(*key)
-    at = postings(found, key, path_col, text_col).where(F.col("token").isin(*words)).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("position", "weight", "token"))).alias("_p"))
+        return "candidate_overflow", chunks.limit(0).withColumn("score", F.lit(0.0))
+    found = found.repartition(*key)  # a sort samples what it sorts, and would search the texts again for that
+    return "ok", found.orderBy(F.desc("score"), *key) if query.words else found.orderBy(*key)
 
-    @F.pandas_udf("double")
-    def score(places):
-        def one(rows):
-            t = {w: i for i, w in enumerate(sorted({r["token"] for r in rows}))}
-            return cover_density(np.array([r["position"] for r in rows]), np.array([r["weight"] for r in rows]), np.array([t[r["token"]] for r in rows]), len(t))
 
-        return places.map(one)
+def chunk_score(query: Query):
+    """A function of a chunk's path and text: its rank, 0 for a query without plain words, None where the query isn't satisfied.
+
+    Aliases and words are those of postings(), the test is that of satisfies().
+    """
+    words = {w: i for i, w in enumerate(query.words)}
+
+    def one(path: str | None, text: str | None) -> float | None:
+        low = (text or "").lower()
+        found = WORD.findall(low)
+        held, body, bare = set(found), None, f"{(path or '').lower()} {low}"
+        for separator in "/_.:-":
+            bare = bare.replace(separator, "")
+        # Aliases are parts of names without separators, so most texts that don't satisfy a query are known before theirs are read.
+        if not any(all(not (len(p) == 1 and p[0] in held) if negated else all(w in bare or w in held for w in p) for p, negated in group) for group in query.any_of):
+            return None
+        aliases = alias_words(path, text) if path is not None and text is not None else []
+        found = aliases + found
+        held.update(aliases)
+        for group in query.any_of:
+            for phrase, negated in group:
+                has = all(w in held for w in phrase)
+                if has and len(phrase) > 1:
+                    body = body or f" {' '.join(found)} "
+                    has = f" {' '.join(phrase)} " in body
+                if has == negated:
+                    break
+            else:
+                break
+        else:
+            return None
+        if not words:
+            return 0.0
+        if path is None or text is None or held.isdisjoint(words):
+            return None
+        at = [(i, words[w]) for i, w in enumerate(found, 1) if w in words]
+        place = np.array([p for p, _ in at])
+        return cover_density(place, np.where(place <= len(aliases), WEIGHT_ALIAS, WEIGHT_TEXT), np.array([t for _, t in at]), len({t for _, t in at}))
+
+    return one
+
+
+def chunk_scores(query: Query):
+    """chunk_score as a column's function: each chunk is read once, in its own row."""
+    one = chunk_score(query)
+
+    @F.pandas_udf("double")
+    def score(paths, texts):
+        return pd.Series([one(p, t) for p, t in zip(paths, texts, strict=True)], dtype="float64")
 
-    return "ok", found.join(at.withColumn("score", score(F.col("_p"))).drop("_p"), key).orderBy(F.desc("score"), *key)
+    return score.asNondeterministic()  # else a filter on it would compute it again
 
 
 def phrase(chunks: DataFrame, query_text: str, key: list[str], text_col: str = "chunk_text") -> DataFrame:

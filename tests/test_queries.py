@@ -69,3 +69,28 @@ def test_nearest_each_blocks(spark, monkeypatch):
         order = lambda x: (x[2] is None, x[2] is not None and x[2] != x[2], x[2] if x[2] is not None and x[2] == x[2] else 0, x[1])
         best = [(s, v, repr(d)) for one in {x[0] for x in want} for s, v, d in sorted((x for x in want if x[0] == one), key=order)[:k]]
         assert got == sorted(best)
+
+
+def test_ranked_in_one_pass(spark):
+    """Ranks are those of postings and satisfies over odd texts; each text is read once, without rows for its tokens or a join."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import lexical
+
+    texts = ["of the", "of  THE, shall", "ofThe x of_the", "OF-the/of.the", "ΣΑΣ of İthe the of²", "a1b2 the of the of", "", "of\nthe of Éthe", "XMLHttp2Of the", "o-f the", "the of " * 50, "é_of the_é of the", None, "of Ⅷ the ½", "s-hall of the", "of é the"]
+    rows = [(i, p, t) for i, t in enumerate(texts * 2) for p in (["d", "src/of_the.py"][i // len(texts)],)] + [(99, None, "of the")]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, chunk_text string")
+    for text in ('"of the" -shall', "of or the", '-"of the"', "of2 or xml the", "²", "shall -of"):
+        query = lexical.parse_web_query(text)
+        status, out = lexical.ranked(df, text, ["doc_id"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert status == "ok" and "Generate" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") <= 1
+        hit = df.where(lexical.satisfies(F.concat_ws(" ", F.array_join(lexical.alias_tokens(F.col("path"), F.col("chunk_text")), " "), F.col("chunk_text")), query))
+        want = {r["doc_id"]: 0.0 for r in hit.collect()} if not query.words else {}
+        places = {}
+        for r in lexical.postings(hit, ["doc_id"]).where(F.col("token").isin(*query.words)).collect() if query.words else ():
+            places.setdefault(r["doc_id"], []).append((r["position"], r["weight"], query.words.index(r["token"])))
+        want |= {k: lexical.cover_density(*(np.array(c) for c in zip(*v, strict=True)), len({x[2] for x in v})) for k, v in places.items()}
+        assert {r["doc_id"]: r["score"] for r in out.collect()} == want
+    assert lexical.ranked(df, "of", ["doc_id"], max_chunks=3)[0] == "candidate_overflow" and lexical.ranked(df, "shall", ["doc_id"], max_chunks=10)[0] == "ok"
