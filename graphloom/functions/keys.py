@@ -46,17 +46,18 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf(StringType())
-def canonical_json_text(text):
-    """Canonical form of JSON texts; null and malformed texts read as an empty object."""
+def canonical_text(text: str | None) -> str:
+    """Canonical form of a JSON text; null and malformed texts read as an empty object."""
+    try:
+        return canonical_json(json.loads(text)) if text else "{}"
+    except ValueError:
+        return "{}"
 
-    def one(t):
-        try:
-            return canonical_json(json.loads(t)) if t else "{}"
-        except ValueError:
-            return "{}"
 
-    return text.map(one)
+@F.pandas_udf(StringType())
+def canonical_json_text(text):
+    """canonical_text of JSON texts."""
+    return text.map(canonical_text)
 
 
 def identity_hash(identity_json: Column) -> Column:

@@ -6,12 +6,15 @@ table), so a corpus is read once whatever the number of kinds.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import canonical_json_text, edge_key, escape_segment, evidence_key, file_key, identity_hash, key_display_name, key_kind
+from ..functions.keys import canonical_text, edge_key, escape_segment, evidence_key, file_key, identity_hash, key_display_name, key_kind
 from ..schema import GRAPH_KEY_VERSION
 from . import merge
 
@@ -58,15 +61,42 @@ def rule_table(spark: SparkSession, rules: dict[str, tuple[str, str, str]] | Non
     return spark.createDataFrame([(k, *v) for k, v in (rules or RULES).items()], "kind string, shape string, namespace string, edge_kind string")
 
 
-def validated(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid observations, diagnostics of the others): required texts, version, confidence, line range."""
+def invalid_code() -> Column:
+    """Why an observation is invalid, or null: required texts, version, confidence, line range."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     lines = (F.col("start_line").isNull() != F.col("end_line").isNull()) | (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line"))
     code = F.when(blank("kind") | blank("source_id") | blank("path") | blank("extractor") | blank("extractor_version"), "blank_field")
-    code = code.when(F.coalesce("schema_version", F.lit(0)) != 1, "schema_version").when(~F.coalesce(F.col("confidence").isin("unknown", "heuristic", "extracted", "manual"), F.lit(False)), "confidence").when(lines, "line_range")
-    marked = observations.withColumn("_code", code)
-    bad = marked.where("_code is not null").select(F.lit("error").alias("severity"), F.col("_code").alias("code"), "ordinal", "kind", F.col("path").alias("detail"))
-    return marked.where("_code is null").drop("_code"), bad
+    return code.when(F.coalesce("schema_version", F.lit(0)) != 1, "schema_version").when(~F.coalesce(F.col("confidence").isin("unknown", "heuristic", "extracted", "manual"), F.lit(False)), "confidence").when(lines, "line_range")
+
+
+def validated(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid observations, diagnostics of the others)."""
+    coded = observations.withColumn("_code", invalid_code())
+    bad = coded.where("_code is not null").select(F.lit("error").alias("severity"), F.col("_code").alias("code"), "ordinal", "kind", F.col("path").alias("detail"))
+    return coded.where("_code is null").drop("_code"), bad
+
+
+def marked(observations: DataFrame) -> DataFrame:
+    """Observations with canonical metadata, _code (why one is invalid) and _reason (why its claims are refused).
+
+    Each row's metadata are read once: filters on what is made of them stay above that, and claims are looked for only in texts that can hold one.
+    """
+    out = observations.withColumn("_read", metadata_reader()(F.col("metadata")))
+    reason = F.when(F.col("_read.suspect"), claim_reason(F.col("kind"), F.col("metadata"))).when(F.col("kind").isin(*RUST_KINDS), "rust_raw_kind")
+    return out.withColumn("_code", invalid_code()).withColumn("_reason", reason).withColumn("metadata", F.col("_read.canonical")).drop("_read")
+
+
+def metadata_reader():
+    """A function of metadata texts: their canonical form, and whether they can hold a claim. Equal texts of a batch are read once."""
+    suspect = re.compile("|".join(["\\\\", RECEIPT_PREFIX, *CLAIM_KEYS, "rust"]), re.IGNORECASE)  # a backslash can hide a name
+
+    @F.pandas_udf("canonical string, suspect boolean")
+    def reader(texts):
+        code, different = pd.factorize(texts)  # -1: missing
+        form = np.array([*[canonical_text(t) for t in different], "{}"], dtype=object)
+        return pd.DataFrame({"canonical": form[code], "suspect": np.array([*[suspect.search(t) is not None for t in different], False])[code]})
+
+    return reader.asNondeterministic()  # else filters would be pushed below it, with all that they are made of
 
 
 def canonicalize(observations: DataFrame, rules: dict[str, tuple[str, str, str]] | None = None) -> Graph:
@@ -76,14 +106,12 @@ def canonicalize(observations: DataFrame, rules: dict[str, tuple[str, str, str]]
     nodes inferred, and an edge; a file gives its node. Unknown kinds give a warning and nothing else. Nodes keep the first metadata
     and the strongest confidence; edges fold metadata in order of ordinals. Claims that no witness bears out are refused with a warning.
     """
-    spark = observations.sparkSession
-    good, bad = validated(observations)
-    good, refused = refused_claims(good)
-    bad = bad.union(refused)
-    good = good.withColumn("metadata", canonical_json_text(F.col("metadata")))
-    routed = good.join(F.broadcast(rule_table(spark, rules)), "kind", "left")  # as many rows as kinds
-    unknown = routed.where("shape is null").select(F.lit("warning").alias("severity"), F.lit("unsupported_observation").alias("code"), "ordinal", "kind", F.col("path").alias("detail"))
-    known = routed.where("shape is not null").withColumn("evidence_key", evidence_key(F.col("ordinal"), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("extractor"), F.col("source_id")))
+    routed = marked(observations).join(F.broadcast(rule_table(observations.sparkSession, rules)), "kind", "left")  # as many rows as kinds
+    refused = F.col("_code").isNotNull() | F.col("_reason").isNotNull()
+    known = routed.where(~refused & F.col("shape").isNotNull()).withColumn("evidence_key", evidence_key(F.col("ordinal"), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("extractor"), F.col("source_id")))
+    code = F.when(F.col("_code").isNotNull(), F.col("_code")).when(F.col("_reason").isNotNull(), "extractor_capability_claim_refused").otherwise("unsupported_observation")
+    detail = F.when(F.col("_code").isNull() & F.col("_reason").isNotNull(), F.concat_ws(":", "_reason", "path")).otherwise(F.col("path"))
+    bad = routed.where(refused | F.col("shape").isNull()).select(F.when(F.col("_code").isNotNull(), "error").otherwise("warning").alias("severity"), code.alias("code"), "ordinal", "kind", detail.alias("detail"))
     own = F.coalesce("name", "target", "path")
     target = (
         F.when(F.col("shape") == "file", file_key(F.col("path")))
@@ -103,7 +131,7 @@ def canonicalize(observations: DataFrame, rules: dict[str, tuple[str, str, str]]
     ), lambda x: x["key"].isNotNull())).alias("e"))
     node_links = ends.select(F.col("e.key").alias("canonical_key"), "evidence_key", F.col("e.link").alias("link_kind")).distinct()
     proposals = ends.select(F.col("e.key").alias("canonical_key"), key_kind(F.col("e.key")).alias("kind"), key_display_name(F.col("e.key")).alias("display_name"), F.col("e.metadata").alias("metadata"), F.col("e.confidence").alias("confidence"), "ordinal")
-    conflicts = file_conflicts(good)
+    conflicts = file_conflicts(marked(observations.where("kind = 'file'")).where("_code is null and _reason is null"))  # files are chosen before metadata are read
     nodes = merge.upsert_nodes(proposals).join(conflicts.select("canonical_key", F.lit(True).alias("_c")), "canonical_key", "left")
     nodes = nodes.select(F.lit(GRAPH_KEY_VERSION).alias("graph_key_version"), "canonical_key", "kind", "display_name", "metadata", "confidence", F.coalesce("_c", F.lit(False)).alias("conflict"))
 
@@ -114,7 +142,7 @@ def canonicalize(observations: DataFrame, rules: dict[str, tuple[str, str, str]]
     )
     edge_links = between.select("edge_key", "evidence_key", F.lit("supports").alias("link_kind")).distinct()
     warned = conflicts.select(F.lit("warning").alias("severity"), F.lit("conflicting_evidence").alias("code"), F.lit(None).cast("bigint").alias("ordinal"), F.lit("file").alias("kind"), F.col("canonical_key").alias("detail"))
-    return Graph(nodes, edges, evidence, node_links, edge_links, bad.union(unknown).union(warned))
+    return Graph(nodes, edges, evidence, node_links, edge_links, bad.union(warned))
 
 
 def file_conflicts(observations: DataFrame) -> DataFrame:

@@ -112,3 +112,34 @@ def test_command_line(spark, tmp_path):
     assert not os.path.exists(f"{folder}/run=1") and publish.latest_receipt(spark.read.parquet(f"{folder}/runs"), ["digest"]).first()["run_id"] == 2
     t = publish.load(spark, folder, 2)
     assert publish.export_bundle(f"{folder}/bundle", {"nodes": t["nodes"]}, {"nodes": ["canonical_key"]})["nodes"] == t["nodes"].count()
+
+
+def test_metadata_read_once(spark):
+    """Canonicalization reads metadata in one step that filters stay above; refusals, warnings and metadata are those of the plain expressions."""
+    import json
+
+    from graphloom.functions.keys import canonical_json
+
+    texts = [None, "", "{}", "[1]", "{", '{"b":1, "a":{"d":1.50,"c":"é"}}', '{"language":" RUST/x"}', '{"language":"rusty"}', '{"\\u0065xtractor_receipt_x":1}', '{"extractor_receipt":1}', '{"effect_vector":1}', '{"x":"effect_vector"}', '{"l\\u0061nguage":"r\\u0075st"}', '{"dialect":"rust"', '{"x":{"effect_vector":1}}']
+    kinds = ["python.function", "rust.item", "html.document", "x.y", "", "file", None]
+    rows = [(1, i, 1 if i % 5 else 2, k, "s", f"p{i % 4}", "extracted", "e", "1", 1, 1, "n", "t", t) for i, (k, t) in enumerate((k, t) for k in kinds for t in texts)]
+    o = spark.createDataFrame(rows, "run_id long, ordinal long, schema_version int, kind string, source_id string, path string, confidence string, extractor string, extractor_version string, start_line int, end_line int, name string, target string, metadata string")
+    g = canonical.canonicalize(o)
+    good, bad = canonical.validated(o)
+    good, refused = canonical.refused_claims(good)
+    unknown = good.where(~F.col("kind").isin(*canonical.RULES)).select(F.lit("warning"), F.lit("unsupported_observation"), "ordinal", "kind", "path")
+    plain = lambda df: sorted(map(repr, map(tuple, df.where("code <> 'conflicting_evidence'").collect())))
+    assert plain(g.diagnostics) == plain(bad.union(refused).union(unknown)) and {r["code"] for r in g.diagnostics.collect()} >= {"schema_version", "blank_field", "extractor_capability_claim_refused", "unsupported_observation"}
+
+    def form(t):
+        try:
+            return canonical_json(json.loads(t)) if t else "{}"
+        except ValueError:
+            return "{}"
+
+    want = {r["ordinal"]: form(r["metadata"]) for r in good.where(F.col("kind").isin(*canonical.RULES)).collect()}
+    assert {r["raw_observation_ordinal"]: r["metadata"] for r in g.evidence.collect()} == want
+    for df in (g.diagnostics, g.nodes, g.edges):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "json_object_keys" in line and "suspect" not in line]
+    assert g.diagnostics._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3  # observations, rules, files for conflicts
