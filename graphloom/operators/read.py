@@ -9,6 +9,10 @@ from ..functions.classify import under
 from ..functions.keys import file_key
 
 
+#: Edge keys and links of one explanation that the driver hands on; beyond these, tables are joined.
+MAX_KEYS, MAX_LINKS = 1000, 50_000
+
+
 def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """A window of an ordered listing; an offset needs a limit."""
     if limit is None:
@@ -112,9 +116,17 @@ def explain_edge(edge_table: DataFrame, edge_links: DataFrame, evidence: DataFra
     e = edge_table.where((F.col("source_canonical_key") == source_key) & (F.col("edge_kind") == kind) & (F.col("target_canonical_key") == target_key))
     if identity_hash is not None:
         e = e.where(F.col("identity_metadata_hash") == identity_hash)
-    ev = e.select("edge_key").join(edge_links, "edge_key").join(evidence, "evidence_key")
+    keys = [r[0] for r in e.select("edge_key").distinct().limit(MAX_KEYS + 1).collect()]  # one for each identity
+    few = len(keys) <= MAX_KEYS
+    links = edge_links.where(F.col("edge_key").isin(*keys)) if few else edge_links.join(e.select("edge_key"), "edge_key", "left_semi")  # a filter on the key reaches below links' own aggregate
+    held = links.limit(MAX_LINKS + 1).collect() if few else []
+    few = few and len(held) <= MAX_LINKS  # few links are sent to evidence and observations, which then stay where they are
+    near = F.broadcast if few else (lambda df: df)
+    links = edge_links.sparkSession.createDataFrame(held, edge_links.schema) if few else links
+    ev = evidence.join(near(links), "evidence_key")
     raw = observations.select(F.col("run_id").alias("_run"), F.col("ordinal").alias("_ordinal"), F.col("kind").alias("_kind"), F.col("metadata").alias("raw_metadata"))
-    out = ev.join(raw, (F.col("run_id") == F.col("_run")) & (F.col("raw_observation_ordinal") == F.col("_ordinal")), "left")
+    seen = raw.join(near(ev.select(F.col("run_id").alias("_run"), F.col("raw_observation_ordinal").alias("_ordinal"))), ["_run", "_ordinal"], "left_semi") if few else raw
+    out = ev.join(near(seen), (F.col("run_id") == F.col("_run")) & (F.col("raw_observation_ordinal") == F.col("_ordinal")), "left")
     return out.select("edge_key", "evidence_key", "link_kind", F.coalesce("_kind", "raw_kind").alias("raw_kind"), "path", "start_line", "end_line", "extractor", "confidence", "raw_metadata").orderBy("evidence_key")
 
 

@@ -143,3 +143,23 @@ def test_metadata_read_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.splitlines() if "Filter" in line and "json_object_keys" in line and "suspect" not in line]
     assert g.diagnostics._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3  # observations, rules, files for conflicts
+
+
+def test_explained_edge_small_links(spark, monkeypatch):
+    """Few links are broadcast, so evidence and observations are not shuffled; many are joined; rows are the same, also where raw observations are gone."""
+    from graphloom.operators import read
+
+    rows = [(1, i, 1, "python.import", "s", "a.py", "extracted", "e", "1", 1, 1, "n", f"t{i % 3}", '{"k":1}') for i in range(30)]
+    o = spark.createDataFrame(rows, "run_id long, ordinal long, schema_version int, kind string, source_id string, path string, confidence string, extractor string, extractor_version string, start_line int, end_line int, name string, target string, metadata string")
+    g = canonical.canonicalize(o)
+    ask = lambda raw: read.explain_edge(g.edges, g.edge_links, g.evidence, raw, "file:a.py", "imports", "external:t1")
+    out = ask(o.where("ordinal <> 4"))
+    got = sorted((r["evidence_key"].split(":")[1], r["raw_kind"], r["raw_metadata"]) for r in out.collect())
+    assert got == sorted((str(i), "python.import", None if i == 4 else '{"k":1}') for i in range(30) if i % 3 == 1)
+    plan = ask(o)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan  # a sort of the few rows is all that is dealt out
+    monkeypatch.setattr(read, "MAX_LINKS", 2)
+    assert sorted(map(repr, ask(o.where("ordinal <> 4")).collect())) == sorted(map(repr, out.collect()))
+    monkeypatch.setattr(read, "MAX_KEYS", 0)
+    assert sorted(map(repr, ask(o.where("ordinal <> 4")).collect())) == sorted(map(repr, out.collect()))
+    assert ask(o).count() == 10 and read.explain_edge(g.edges, g.edge_links, g.evidence, o, "file:a.py", "imports", "external:none").count() == 0
