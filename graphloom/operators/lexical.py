@@ -192,15 +192,16 @@ def fence(conditions: dict[str, Column]) -> Column:
 def covering_chunk(occurrences: DataFrame, chunks: DataFrame, keys: list[str], occurrence_id: list[str], bin_lines: int = 64) -> DataFrame:
     """Each occurrence with the chunk of its file that covers its line, the first by ordinal; the file's first chunk where none does; null without chunks.
 
-    occurrences(keys, start_line, ...), chunks(keys, chunk_ordinal, start_line, end_line, chunk_id). An equality join on the file
-    and on bins of lines finds the covering chunk, an aggregate the file's first one, so a file's occurrences never meet all its chunks.
+    occurrences(keys, start_line, ...), chunks(keys, chunk_ordinal, start_line, end_line, chunk_id). A bin of a file's lines holds its chunks in one
+    row, so an occurrence meets one row by file and bin, and one by file: it is dealt out twice, never multiplied nor gathered again by its id.
     """
+    chunk = F.struct("chunk_ordinal", "chunk_id")
     bins = F.explode(F.sequence(F.floor(F.col("start_line") / bin_lines), F.floor(F.col("end_line") / bin_lines)))
-    spans = chunks.select(*keys, F.struct("chunk_ordinal", "chunk_id").alias("_chunk"), F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), bins.alias("_bin"))
-    at = occurrences.select(*keys, *[c for c in occurrence_id if c not in keys], "start_line", F.floor(F.col("start_line") / bin_lines).alias("_bin"))
-    covers = at.join(spans, [*keys, "_bin"]).where("start_line BETWEEN _from AND _to").groupBy(*occurrence_id).agg(F.min("_chunk").alias("_covers"))
-    first = chunks.groupBy(*keys).agg(F.min(F.struct("chunk_ordinal", "chunk_id")).alias("_first"))
-    out = occurrences.join(covers, occurrence_id, "left").join(first, keys, "left")
+    spans = chunks.select(*keys, bins.alias("_bin"), F.struct(chunk.alias("chunk"), F.col("start_line").alias("a"), F.col("end_line").alias("z")).alias("_span")).groupBy(*keys, "_bin").agg(F.collect_list("_span").alias("_spans"))
+    first = chunks.groupBy(*keys).agg(F.min(chunk).alias("_first"))
+    at = occurrences.withColumn("_bin", F.floor(F.col("start_line") / bin_lines)).join(spans, [*keys, "_bin"], "left")
+    covers = F.array_min(F.transform(F.filter("_spans", lambda s: F.col("start_line").between(s["a"], s["z"])), lambda s: s["chunk"]))
+    out = at.select(*occurrences.columns, covers.alias("_covers")).join(first, keys, "left")
     return out.select(*occurrences.columns, F.coalesce(F.col("_covers.chunk_id"), F.col("_first.chunk_id")).alias("chunk_id"), F.col("_covers").isNotNull().alias("covered"))
 
 

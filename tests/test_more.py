@@ -163,3 +163,21 @@ def test_explained_edge_small_links(spark, monkeypatch):
     monkeypatch.setattr(read, "MAX_KEYS", 0)
     assert sorted(map(repr, ask(o.where("ordinal <> 4")).collect())) == sorted(map(repr, out.collect()))
     assert ask(o).count() == 10 and read.explain_edge(g.edges, g.edge_links, g.evidence, o, "file:a.py", "imports", "external:none").count() == 0
+
+
+def test_covering_chunk_shuffles(spark):
+    """Overlapping chunks, chunks over several bins, files without chunks and lines without; occurrences are dealt out by file and bin and by file only."""
+    from graphloom.operators import lexical
+
+    chunks = [("a", 0, 1, 10, "a0"), ("a", 1, 5, 200, "a1"), ("a", 2, 60, 70, "a2"), ("b", 3, 5, 6, "b3"), ("b", 1, 500, 900, "b1")]
+    occurrences = [(f, n, f"{f}{n}") for f in "abc" for n in (1, 5, 10, 63, 64, 65, 130, 200, 201, 700, 901)]
+    c = spark.createDataFrame(chunks, "path string, chunk_ordinal int, start_line int, end_line int, chunk_id string")
+    o = spark.createDataFrame(occurrences, "path string, start_line int, oid string")
+    out = lexical.covering_chunk(o, c, ["path"], ["oid"])
+    want = []
+    for f, n, oid in occurrences:
+        own = sorted((k, i) for p, k, _, _, i in chunks if p == f)
+        held = sorted((k, i) for p, k, a, z, i in chunks if p == f and a <= n <= z)
+        want.append((f, n, oid, (held or own or [(0, None)])[0][1], bool(held)))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert "oid" not in " ".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(oid" in x or "keys=[oid" in x or "[oid#" in x and "Join" in x)
